@@ -52,3 +52,22 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers can import it anywhere."""
+    import shutil
+    from pathlib import Path
+
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="inkloom-"))
+    copy = folder / "tree" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", copy.parent))
+    _shipped.add(application)
