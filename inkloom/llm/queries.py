@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from inkloom.llm import mainbody, packing, repeats, residue, tokens, truncation
+from inkloom.llm import languages, mainbody, mojibake, packing, repeats, residue, tokens, truncation
 
 
 def queries() -> dict:
     return {
         "p1_found": residue.p1_found,
         "p2_found": repeats.p2_found,
+        "p3_found": mojibake.p3_found,
+        "p3_restored": mojibake.p3_restored,
         "p4_found": truncation.p4_found,
         "p4_sites": truncation.p4_sites,
         "p6_found": mainbody.p6_found,
         "p7_ids": tokens.p7_ids,
         "p8_pack": packing.p8_pack,
+        "p9_found": languages.p9_found,
+        "p9_languages": languages.p9_languages,
     }
 
 
