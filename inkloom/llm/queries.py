@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkloom.llm import languages, mainbody, mojibake, packing, repeats, residue, tokens, truncation
+from inkloom.llm import bitext, languages, mainbody, mojibake, packing, repeats, residue, tokens, truncation
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "p3_restored": mojibake.p3_restored,
         "p4_found": truncation.p4_found,
         "p4_sites": truncation.p4_sites,
+        "p5_found": bitext.p5_found,
         "p6_found": mainbody.p6_found,
         "p7_ids": tokens.p7_ids,
         "p8_pack": packing.p8_pack,
