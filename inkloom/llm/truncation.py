@@ -14,42 +14,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.chapters import NARROW, WIDE, chapter_sites, lines_of, table
+from inkloom.llm.chapters import chapter_sites, lines_of, table
+from inkloom.session import cut
 
 #: Occurrences from which an n-gram can tell, and the largest share at ends (besides the one at hand) of a cut.
 SEEN, LAST = 20, 0.02
 
-#: Marks that close a sentence or a line, marks inside sentences, and dots (fixed values).
-CLOSED = "[。！？!?”’」』）)\\\\]】》>～~—*＊◇◆★☆※|｜.…]"
-INNER = "，、；：！？…“”‘’,;:!?."
-
-#: Per paragraph: the text with digits as 0, marks as 。 and other signs as a space, without dots at the end, and how it ends.
-LINES = f"""
-select book_id, number,
-  regexp_replace(regexp_replace(translate(regexp_replace(body, '[0-9]+', '0'), '{INNER}', '{"。" * len(INNER)}'), '[^\\\\pL\\\\pN。]', ' '), '。+', '。') as text,
-  torn, dotted, not torn and not dotted and not body rlike '{CLOSED}$' as unclosed,
-  length(replace(body, '“', '')) < length(replace(body, '”', '')) as unquoted
-from (
-  select book_id, number, regexp_replace(line, '(�|[.][.]+|…)$', '') as body,
-    line rlike '[^�]�$' as torn, line rlike '([^.][.][.]+|[^…]…)$' as dotted
-  from {{exploded}})
-where length(body) > 2 and not body like '%�%'
+#: Marks that close a sentence or a line, and marks inside sentences (fixed values).
+CLOSED = "[。！？!?…”’」』）)\\\\]】》>～~—*＊◇◆★☆※|｜.]"
+INNER = "，、；：！？…“”‘’,;:!?.．"
+#: Other signs, which separate; wide digits count as digits.
+SIGNS = " \t　·•《》〈〉「」『』【】〔〕（）()[]<>»«›‹/|｜~～*＊◇◆★☆※→←—-_=+#&@%©$^`\\"
+
+_FROM = INNER + SIGNS + "0123456789０１２３４５６７８９"
+_TO = "。" * len(INNER) + " " * len(SIGNS) + "0" * 20
+
+
+def signs(text):
+    """A text with every mark as 。, every other sign as a space and every digit as 0, of the same length."""
+    return F.translate(text, _FROM, _TO)
+
+
+#: Every four characters, and what ends with the paragraph.
+GRAMS = """
+select gram, count(*) as n from (
+  select explode(regexp_extract_all(concat(text, '\\u0003'), '(?s)(?=(....))', 1)) as gram from {lines})
+group by gram
 """
 
+#: Trigrams by what follows them.
 COUNTS = """
-select left(gram, 3) as gram,
-  count_if(right(gram, 1) not in ('。', ' ', '\\u0003')) as mid, count_if(right(gram, 1) = '。') as stop, count_if(right(gram, 1) = '\\u0003') as final
-from (select explode(regexp_extract_all(concat(text, '\\u0003'), '(?s)(?=(....))', 1)) as gram from {lines})
-group by left(gram, 3)
+select left(gram, 3) as gram, sum(if(right(gram, 1) not in ('。', ' ', '\\u0003'), n, 0)) as mid,
+  sum(if(right(gram, 1) = '。', n, 0)) as stop, sum(if(right(gram, 1) = '\\u0003', n, 0)) as final
+from {grams} group by left(gram, 3)
+"""
+
+#: How each paragraph ends; only its last characters are looked at, besides its quotes.
+ENDS = f"""
+select book_id, number, torn, dotted, unclosed, unquoted, tail from (
+  select *, line rlike '[^�]�$' and not left(line, length(line) - 1) like '%�%' as torn,
+    line rlike '([^.][.][.]+|[^…]…)$' as dotted,
+    not last rlike '{CLOSED}$' and not line like '%�%' as unclosed,
+    line like '%“%' and not line like '%�%' and length(replace(line, '“', '')) < length(replace(line, '”', '')) as unquoted,
+    regexp_replace(right(line, 16), '(�|[.][.]+|…)$', '') as tail
+  from (select book_id, number, line, right(line, 1) as last from {{exploded}}))
+where torn or dotted or unclosed or unquoted
 """
 
 FLAGS = """
-with ends as (select book_id, number, torn, dotted, unclosed, unquoted, right(rtrim('。', text), 3) as gram, length(substring_index(text, ' ', -1)) > 6 or not text like '% %' as prose from {lines} where torn or dotted or unclosed or unquoted),
+with ends as (
+  select book_id, number, torn, dotted, unclosed, unquoted, right(rtrim('。', tail), 3) as gram,
+    length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %' as prose from {ends}),
 counts as (select gram, mid, stop, final from {counts}),
 pairs as (select right(gram, 2) as gram, sum(mid) as mid, sum(stop) as stop, sum(final) as final from counts group by right(gram, 2)),
 judged as (
-  select e.*, coalesce(c.mid + c.stop, 0) >= {seen} or coalesce(c.final, 0) > {seen} as known,
-    if(coalesce(c.mid + c.stop, 0) >= {seen} or coalesce(c.final, 0) > {seen}, struct(c.mid, c.stop, c.final), struct(p.mid, p.stop, p.final)) as s
+  select e.*, if(coalesce(c.mid + c.stop, 0) >= {seen} or coalesce(c.final, 0) > {seen}, struct(c.mid, c.stop, c.final), struct(p.mid, p.stop, p.final)) as s
   from ends e left join counts c on c.gram = e.gram left join pairs p on p.gram = right(e.gram, 2))
 select distinct book_id, number from judged
 where prose and gram rlike '^[^ ]*[一-鿿，。“]$' and gram rlike '[一-鿿]' and not gram rlike '[锟斤拷]' and (
@@ -66,19 +85,22 @@ def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST) -> DataFram
     Repeated pages count once in the result.
     """
     spark = pages.sparkSession
-    exploded = pages.select("book_id", "number", F.explode("lines").alias("line")).withColumn(
-        "line", F.rtrim(F.translate("line", WIDE, NARROW))
-    )
-    lines = spark.sql(LINES, exploded=exploded)
-    counts = spark.sql(COUNTS, lines=lines)
-    return spark.sql(FLAGS.replace("{seen}", str(seen)).replace("{last}", str(last)), lines=lines, counts=counts)
+    exploded = pages.select("book_id", "number", F.explode("lines").alias("line")).withColumn("line", F.rtrim("line"))
+    clean = exploded.filter("length(line) > 2 and not line like '%�%'")
+    grams = spark.sql(GRAMS, lines=clean.select(signs(F.regexp_replace("line", "([.][.]+|…)$", "")).alias("text")))
+    counts = cut(spark.sql(COUNTS, grams=grams))
+    ends = spark.sql(ENDS, exploded=exploded.filter("length(line) > 2")).withColumn("tail", signs(F.col("tail")))
+    return spark.sql(FLAGS.replace("{seen}", str(seen)).replace("{last}", str(last)), ends=ends, counts=counts)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence."""
-    pages = table(spark, sf_dir, "chapters").select("book_id", "number", "source", lines_of(F.col("source")).alias("lines"))
-    broken = pages.filter("lines is null and ltrim(source) like '[%'").select("book_id", "number")
-    return broken.unionByName(cut_ends(pages.filter("lines is not null"))).distinct()
+    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source")
+    broken = chapters.filter("ltrim(source) like '[%'").filter(
+        ~F.trim("source").endswith("]") | lines_of(F.col("source")).isNull()
+    )
+    pages = chapters.select("book_id", "number", lines_of(F.col("source")).alias("lines")).filter("lines is not null")
+    return broken.select("book_id", "number").unionByName(cut_ends(pages)).distinct()
 
 
 def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
