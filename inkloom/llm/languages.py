@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from inkloom.llm.tokens import spread
 
 #: Labelled documents that the model is fitted on, drawn by hash; and characters taken of them all at most.
-SAMPLE, SAMPLE_CHARS = 8000, 6_000_000
+SAMPLE, SAMPLE_CHARS = 4000, 2_500_000
 BITS = 18
 #: Longest word; runs without spaces are cut into pieces of this many letters.
 PIECE, LONGEST = 6, 24
@@ -101,22 +101,17 @@ class Crf:
         return np.array([self.cache[w] for w in words]).reshape(len(words), -1)
 
     def fit_nodes(self, words: list[str], labels: np.ndarray, epochs: int = 3, rate: float = 0.5, seed: int = 3) -> None:
-        feature, of = features(words)
-        order = np.argsort(of, kind="stable")
-        feature, of = feature[order], of[order]
-        start = np.searchsorted(of, np.arange(len(words) + 1))
         k = len(self.languages)
-        w, g = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-6)
+        w, g = np.zeros((1 << BITS, k), np.float32), np.full((1 << BITS, k), 1e-6, np.float32)
         bias = np.zeros(k)
         random = np.random.default_rng(seed)
         for _ in range(epochs):
             ids = random.permutation(len(words))
             for at in range(0, len(ids), 4096):
+                # Features are made batch by batch, so that those of the whole sample never stand in memory.
                 batch = ids[at : at + 4096]
-                counts = start[batch + 1] - start[batch]
-                where = np.repeat(start[batch] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                f, row = feature[where], np.repeat(np.arange(len(batch)), counts)
-                scale = 1 / np.sqrt(counts)
+                f, row = features([words[i] for i in batch])
+                scale = 1 / np.sqrt(np.bincount(row, minlength=len(batch)))
                 z = np.stack([np.bincount(row, weights=w[f, c], minlength=len(batch)) for c in range(k)], axis=1) * scale[:, None] + bias
                 z -= np.logaddexp.reduce(z, axis=1, keepdims=True)
                 error = np.exp(z)
@@ -124,8 +119,8 @@ class Crf:
                 used, inverse = np.unique(f, return_inverse=True)
                 scaled = error * scale[:, None]
                 grad = np.stack([np.bincount(inverse, weights=scaled[row, c], minlength=len(used)) for c in range(k)], axis=1)
-                g[used] += grad * grad
-                w[used] -= rate * grad / np.sqrt(g[used])
+                g[used] += (grad * grad).astype(np.float32)
+                w[used] -= (rate * grad / np.sqrt(g[used])).astype(np.float32)
                 bias -= 0.01 * error.mean(axis=0)
         self.weights, self.bias = w.astype(np.float32), bias
         self.cache.clear()
@@ -232,7 +227,7 @@ def fit(texts: list[str], labels: list[str]) -> Crf | None:
             return None
         model.fit_nodes(words, answers)
         # Transitions as the model itself labels the sample.
-        best = [m.argmax(axis=1) for m in model.marginals(documents)]
+        best = [m.argmax(axis=1) for k in range(0, len(documents), 2000) for m in model.marginals(documents[k : k + 2000])]
         k = len(languages)
         counts = np.full((k, k), 0.5)
         for b in best:
@@ -253,9 +248,10 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Crf | None:
     labelled = documents.filter("text is not null").join(F.broadcast(codes.limit(10_000)), documents["lang"] == codes["label"])
     total = max(labelled.count(), 1)
     share = min(1.0, bound / total)
-    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("doc_id", "text", "code").limit(2 * bound).collect()
+    # In the order of a hash, so that the bound on characters leaves no kind out.
+    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text", "code").limit(2 * bound).toLocalIterator()
     texts, labels, chars = [], [], 0
-    for row in sorted(rows, key=lambda r: r["doc_id"]):
+    for row in rows:
         chars += len(row["text"])
         if chars > SAMPLE_CHARS:
             break
