@@ -81,6 +81,7 @@ class Packer:
 def _frame(spec: int, packer: Packer) -> pd.DataFrame:
     rows, packer.out = packer.out, []
     frame = pd.DataFrame(rows, columns=["container", "item", "part", "start", "size", "closed"])
+    frame["item"] = frame["item"].astype("Int64")
     frame.insert(0, "capacity", packer.capacity)
     frame.insert(0, "spec_id", spec)
     return frame
@@ -91,7 +92,7 @@ def pack(
 ) -> DataFrame:
     """Contents of the containers: ``spec_id, container, item, part, start, size``.
 
-    ``sizes`` has ``item`` and one column of sizes per measure named in
+    ``sizes`` has ``item`` (which may be null) and one column of sizes per measure named in
     ``specs`` (kind, measure, capacity). ``start`` is the offset of a split
     item's piece. Items with null, zero or negative sizes get no row; repeated
     items are packed each time they occur; other columns are ignored.
@@ -105,7 +106,8 @@ def pack(
         packers = [(spec, measure, Packer(capacity, f"{at}", windows)) for spec, measure, capacity in specs]
         for batch in batches:
             for spec, measure, packer in packers:
-                for item, size in zip(batch["item"].tolist(), batch[measure].fillna(0).astype("int64").tolist()):
+                items = batch["item"].astype("Int64")
+                for item, size in zip(items, batch[measure].fillna(0).astype("int64").tolist()):
                     packer.add(item, size)
                 yield _frame(spec, packer)
         for spec, _, packer in packers:
@@ -119,8 +121,8 @@ def pack(
     def leftovers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "item", "part"], ascending=[False, True, True])
         packer = Packer(int(key[2]), f"m{key[1]}", windows=len(rows) + 1)
-        for piece in zip(rows["item"], rows["part"], rows["start"], rows["size"]):
-            packer.place(*map(int, piece))
+        for item, *piece in zip(rows["item"].astype("Int64"), rows["part"], rows["start"], rows["size"]):
+            packer.place(item, *map(int, piece))
         packer.finish(closed=True)
         return _frame(int(key[0]), packer)
 
@@ -146,7 +148,7 @@ def token_sizes(documents: DataFrame, tokenizers: list[str], folder: str = TOKEN
             texts = [t if isinstance(t, str) else None for t in batch["text"].tolist()]
             yield pd.DataFrame({"item": batch["item"]} | {name: counts(name, e, d, texts) for name, e, d in tools})
 
-    schema = "item long, " + ", ".join(f"`{name}` long" for name in tokenizers)
+    schema = ", ".join(["item long", *(f"`{name}` long" for name in tokenizers)])
     return documents.select(F.col("doc_id").alias("item"), "text").mapInPandas(measure, schema)
 
 

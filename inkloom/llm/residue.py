@@ -86,7 +86,7 @@ def mask(line: str) -> str:
 
 
 def repeated(bare: str) -> str | None:
-    """The unit that a text repeats three times or more (the last may be cut)."""
+    """The unit that a text repeats three whole times or more, with nothing but the start of another behind."""
     if len(bare) < 6:
         return None
     if len(set(bare)) == 1:
