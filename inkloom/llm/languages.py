@@ -261,7 +261,9 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Crf | None:
 
 
 def label(documents: DataFrame, model: Crf | None) -> DataFrame:
-    """``doc_id, lang, first_line, language, confidence`` of each stretch of every document.
+    """``doc_id, lang, first_line, language, confidence, parts`` of each stretch of every document.
+
+    ``parts`` is the number of the document's stretches.
 
     Null, empty and blank texts and those without letters have no stretch; each
     repeated row has its own. ``lang`` is the label as it came.
@@ -275,14 +277,14 @@ def label(documents: DataFrame, model: Crf | None) -> DataFrame:
                 part = batch.iloc[at : at + 2000]
                 texts = [t if isinstance(t, str) else None for t in part["text"]]
                 rows = [
-                    (doc, lang, *stretch)
+                    (doc, lang, *stretch, len(found))
                     for doc, lang, found in zip(part["doc_id"], part["lang"], stretches(tool, texts) if tool else [])
                     for stretch in found
                 ]
-                yield pd.DataFrame(rows, columns=["doc_id", "lang", "first_line", "language", "confidence"])
+                yield pd.DataFrame(rows, columns=["doc_id", "lang", "first_line", "language", "confidence", "parts"])
 
     return documents.select("doc_id", "lang", "text").mapInPandas(
-        work, "doc_id long, lang string, first_line long, language string, confidence double"
+        work, "doc_id long, lang string, first_line long, language string, confidence double, parts int"
     )
 
 
@@ -290,7 +292,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, first_line, language, confidence`` of every stretch of every document."""
     model = fitted(spark, sf_dir)
     documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
-    return label(documents, model).drop("lang")
+    return label(documents, model).drop("lang", "parts")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,10 +301,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
     codes = spark.read.parquet(f"{sf_dir}/lang_codes.parquet").select("label", F.col("lang").alias("code")).dropDuplicates(["label"])
     found = label(documents, model)
-    mixed = found.filter("first_line > 1").select("doc_id").distinct().withColumn("mixed", F.lit(True))
     return (
         found.join(codes, found["lang"] == codes["label"], "left")
-        .join(mixed, "doc_id", "left")
-        .filter("mixed is not null or code is null or code != language")
+        .filter("parts > 1 or code is null or code != language")
         .select("doc_id", "first_line", F.col("language").alias("lang"))
     )
