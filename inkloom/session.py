@@ -50,6 +50,15 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+#: A checkpointed side is broadcast only while it has at most this many (narrow) rows.
+FEW = 100_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """Hint a broadcast for a checkpointed side of at most ``limit`` rows, whose size Catalyst doesn't know."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
