@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.chapters import chapter_sites, line_keys
-from inkloom.session import cut, small
+from inkloom.session import cut, few
 
 #: A site's line is excessive in this many chapters and books and this share of its chapters.
 CHAPTERS, BOOKS, SHARE = 3, 2, 1 / 30
@@ -36,8 +36,9 @@ def spread(counts: DataFrame, totals: DataFrame) -> DataFrame:
     ``counts`` has ``site, key, n``; ``totals`` has ``site, total``. 1 is the
     same rate at every site, 0 is one site only; with a single site it is 0.
     """
-    rates = counts.join(small(totals), "site").withColumn("rate", F.col("n") / F.col("total"))
-    number = totals.agg(F.count("*").alias("sites"))
+    sites = totals.count()
+    rates = counts.join(few(totals), "site").withColumn("rate", F.col("n") / F.col("total"))
+    spread_ = F.log("all_rates") - F.col("weighed") / F.col("all_rates")
     return (
         rates.groupBy("key")
         .agg(
@@ -45,16 +46,7 @@ def spread(counts: DataFrame, totals: DataFrame) -> DataFrame:
             F.sum("rate").alias("all_rates"),
             F.sum(F.col("rate") * F.log("rate")).alias("weighed"),
         )
-        .crossJoin(F.broadcast(number))  # one row
-        .select(
-            "key",
-            "lines",
-            F.when(
-                F.col("sites") > 1, (F.log("all_rates") - F.col("weighed") / F.col("all_rates")) / F.log("sites")
-            )
-            .otherwise(0.0)
-            .alias("evenness"),
-        )
+        .select("key", "lines", (spread_ / math.log(sites) if sites > 1 else F.lit(0.0)).alias("evenness"))
     )
 
 
@@ -77,21 +69,20 @@ def excessive(
     lines = pages.select("site", "book_id", "number", F.posexplode("keys").alias("at", "key"))
     counts = lines.groupBy("site", "key").agg(F.count("*").alias("n"))
     frequent = cut(
-        counts.join(small(totals), "site").filter((F.col("n") >= chapters) & (F.col("n") >= F.col("total") * share))
+        counts.join(few(totals), "site").filter((F.col("n") >= chapters) & (F.col("n") >= F.col("total") * share))
         .select("site", "key")
     )
     # The rates of the frequent keys at all sites, to tell a site's own line from stock phrases.
-    own = spread(counts.join(frequent.select("key").distinct(), "key", "left_semi"), totals).filter(
-        F.col("evenness") < even
-    )
-    found = frequent.join(own.select("key"), "key", "left_semi")
-    bits = cut(bitmaps(lines.join(found, ["site", "key"], "left_semi")))
+    keys = few(cut(frequent.select("key").distinct()))
+    own = spread(counts.join(keys, "key", "left_semi"), totals).filter(F.col("evenness") < even)
+    found = cut(frequent.join(own.select("key"), "key", "left_semi"))
+    bits = cut(bitmaps(lines.join(few(found), ["site", "key"], "left_semi")))
     kept = (
         bits.groupBy("site", "key", "book_id")
         .agg(F.sum(F.bit_count("bits")).alias("chapters"))
         .groupBy("site", "key")
         .agg(F.sum("chapters").alias("chapters"), F.count("*").alias("books"))
-        .join(small(totals), "site")
+        .join(few(totals), "site")
         .filter(
             (F.col("chapters") >= chapters)
             & (F.col("books") >= books)
@@ -101,7 +92,9 @@ def excessive(
     )
     hit = bits.join(kept, ["site", "key"], "left_semi")
     return (
-        lines.withColumn("word", F.shiftright("number", 6))
+        # Lines whose key is excessive nowhere leave before the bitmaps are looked up.
+        lines.join(few(found), ["site", "key"], "left_semi")
+        .withColumn("word", F.shiftright("number", 6))
         .join(hit, ["site", "key", "book_id", "word"])
         .filter("shiftright(bits, cast(number & 63 as int)) & 1 = 1")
         .select("book_id", "number", (F.col("at") + 1).cast("long").alias("para"), "key")
@@ -110,4 +103,4 @@ def excessive(
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number, para`` of every line that its site repeats excessively."""
-    return excessive(site_lines(spark, sf_dir)).drop("key")
+    return excessive(site_lines(spark, sf_dir).filter("site != ''")).drop("key")
