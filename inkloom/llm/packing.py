@@ -158,3 +158,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     sizes = token_sizes(documents, list(dict.fromkeys(t for _, t, _ in specs)))
     return pack(sizes, specs).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``spec_id, capacity, containers, tokens, fill``: how full the containers of each kind are."""
+    specs = spark.read.parquet(f"{sf_dir}/pack_specs.parquet").select("spec_id", "capacity").distinct()
+    packed = p8_pack(spark, sf_dir).groupBy("spec_id", "container").agg(F.sum("size").alias("size"))
+    filled = packed.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"))
+    return filled.join(specs, "spec_id").select(
+        "spec_id", "capacity", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill")
+    )

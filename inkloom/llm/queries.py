@@ -17,6 +17,7 @@ def queries() -> dict:
         "p6_found": mainbody.p6_found,
         "p7_ids": tokens.p7_ids,
         "p8_pack": packing.p8_pack,
+        "p8_fill": packing.p8_fill,
         "p9_found": languages.p9_found,
         "p9_languages": languages.p9_languages,
     }
