@@ -51,17 +51,17 @@ PLACEHOLDER = re.compile(
 NOTHING = re.compile(r"(?<![A-Za-z])(?:undefined|null|NaN|\[object Object\])(?![A-Za-z])")
 NOTHING_LINE = re.compile(r"(?i)\W*(?:undefined|null|nan|nil|none|n/a|\[object object\])(?:\W+(?:undefined|null|nan|nil|none))*\W*")
 #: Words of filler text (fixed values).
-FILLER = ("占位", "示例段落", "示例文字", "样例文字", "实际内容", "仅供排版", "甲乙丙丁", "补正文", "待补", "测试测试", "正文正文", "lorem", "ipsum", "todo", "placeholder", "sample text", "test 0 test")
+FILLER = ("占位", "示例段落", "示例文字", "样例文字", "实际内容", "仅供排版", "填写章节", "填写正文", "甲乙丙丁", "补正文", "待补", "测试测试", "正文正文", "lorem", "ipsum", "todo", "placeholder", "sample text", "test 0 test")
 #: Phrases of messages that leave no doubt (fixed values).
 STRONG = (
     "加载失败", "正文载入", "内容获取中", "正在加载", "正在手打", "章节内容获取", "稍后刷新", "本章待补", "您找的页面", "您访问的页面", "查看此页的权限",
-    "线路拥挤", "更换线路", "系统维护", "后端接口", "接口返回", "读取失败", "值班人员", "会话已过期", "请求过于频繁", "访问过于频繁", "请求超时", "脚本被拦截", "章节无法呈现",
+    "线路拥挤", "更换线路", "系统维护", "后端接口", "接口返回", "读取失败", "值班人员", "会话已过期", "请求过于频繁", "访问过于频繁", "次数过多", "请求超时", "脚本被拦截", "章节无法呈现",
     "浏览器版本过旧", "动态阅读器", "打开 javascript", "启用 javascript", "开启 javascript", "启用javascript", "打开javascript", "开启javascript", "需要脚本", "启用脚本",
     "服务器开小差", "服务器繁忙", "服务器错误", "页面走丢", "网关超时", "bad gateway", "could not be located", "could not be found", "page not found", "moved or removed",
     "too many requests", "no answer in time", "timed out", "unexpected condition", "something broke", "something went wrong", "internal server error", "service unavailable",
     "access denied", "permission to view", "database link", "connection refused", "turn on scripting", "enable js", "enable javascript", "scripts off", "requires javascript",
     "needs javascript", "loading, please wait", "please wait", "under maintenance", "session has expired", "session expired", "không tìm thấy trang", "máy chủ", "thử lại sau",
-    "đang tải nội dung", "bật javascript", "trình duyệt của bạn",
+    "đang tải nội dung", "bật javascript", "tắt javascript", "trình duyệt của bạn",
 )
 #: Whole lines that stand on such pages (fixed values).
 WEAK = re.compile(
@@ -93,7 +93,7 @@ def repeated(bare: str) -> str | None:
         return bare[0] if bare[0].isascii() else None
     for n in range(2, min(16, len(bare) // 3) + 1):
         unit = bare[:n]
-        if len(set(unit)) > 1 and (unit * (len(bare) // n + 1))[: len(bare)] == bare:
+        if len(set(unit)) > 1 and all(c.isascii() or "一" <= c <= "鿿" for c in unit) and (unit * (len(bare) // n + 1))[: len(bare)] == bare:
             return unit
     return None
 
@@ -133,7 +133,7 @@ def classify(line: str) -> str | None:
 
 #: A line without any of these can't be residue of the kinds above: the cheap test before the rules.
 _QUICK = re.compile(
-    r"[{\[%$@<&‹_]|[A-Za-z]{2}|"
+    r"[{\[%$@<&‹_]|[A-Za-zÀ-ỹ]{2}|"
     + "|".join(sorted({re.escape(p[:2]) for p in (*STRONG, *FILLER) if not p[0].isascii()}))
     + r"|联系|重新|返回|刷新|跳转|如何|请稍|错误|状态|出错|请求|时间|^[0-9]{3}$"
 )
