@@ -72,7 +72,7 @@ def numeral_value(numeral: Column) -> Column:
             .otherwise(F.struct(acc["total"].alias("total"), (acc["section"] + F.greatest(acc["digit"], F.lit(1).cast("long")) * unit[c]).alias("section"), zero.alias("digit")))
         )
 
-    han = F.aggregate(F.split(numeral, "(?!^)"), start, step, lambda a: a["total"] + a["section"] + a["digit"])
+    han = F.aggregate(F.filter(F.split(numeral, ""), lambda c: c != ""), start, step, lambda a: a["total"] + a["section"] + a["digit"])
     return F.when(numeral.rlike("^[0-9]+$"), numeral.try_cast("long")).when(numeral.rlike("^[零〇一二两三四五六七八九十百千万]+$"), han)
 
 

@@ -548,3 +548,90 @@ def x48_chapter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x14_reference_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = F.length("text").between(F.col("n_chars") * 0.95, F.col("n_chars") * 1.10)
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "n_chars", fits.alias("fits"))
+
+
+@query(
+    "v6_merge_terms",
+    """
+with p as (select book_id, source, translation, chapter, chapter % 3 <> 0 as approved,
+  case when length(source) = 1 then 'preferred' when chapter % 3 = 0 and kind = 'entity' then 'candidate' else kind end as kind from book_terms
+  union all select book_id, source, translation || ' 2', chapter + 7, true, case when length(source) = 1 then 'preferred' else kind end from book_terms),
+r as (select *, row_number() over (partition by book_id, source order by chapter, translation) as r from p),
+f as (select *, first_value(kind) over (partition by book_id, source order by r) as first_kind from r),
+c as (select *, case when first_kind = 'candidate' and r > 1 and approved then r when r = 1 then 1000000 + r end as c from f)
+select book_id, source, translation, chapter, kind from (select *, min(c) over (partition by book_id, source) as b from c) x where c = b
+""",
+)
+def v6_merge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry left by two rounds of proposals, of which the first has unapproved ones."""
+    from inkloom.operators.terms import merged
+
+    terms = table(spark, sf_dir, "book_terms").select("book_id", "source", "translation", "chapter", "kind")
+    first = terms.withColumn("approved", F.col("chapter") % 3 != 0)
+    second = terms.withColumn("translation", F.concat("translation", F.lit(" 2"))).withColumn("chapter", F.col("chapter") + 7).withColumn("approved", F.lit(True))
+    return merged(first.unionByName(second), ["book_id"], ["chapter", "translation"])
+
+
+@query(
+    "x3_pinned_catalog",
+    """
+with f as (select book_id, number, row_number() over (partition by book_id order by number) as pos, title from (select book_id, number, min(title) as title from chapters group by book_id, number) c),
+p as (select book_id, number, row_number() over (partition by book_id order by number) as pos, title from (select book_id, number, min(title) as title from source_provenance group by book_id, number) c)
+select coalesce(f.book_id, p.book_id) as book_id from f full join p on p.book_id = f.book_id and p.pos = f.pos
+group by 1 having not bool_and(coalesce(f.number = p.number and f.title = p.title, false))
+""",
+)
+def x3_pinned_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose chapters aren't, one by one, those of the accepted sources."""
+    from inkloom.operators.terms import differs
+
+    def catalog(name: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).groupBy("book_id", "number").agg(F.min("title").alias("title"))
+        return rows.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy("number")))
+
+    return differs(catalog("chapters"), catalog("source_provenance"), ["book_id"], ["number", "title"])
+
+
+@query(
+    "g4_progress_fingerprint",
+    "select book_id, sha256(string_agg(cast(number as varchar) || ':' || state, ',' order by number, state)) as fingerprint from (select distinct book_id, number, state from chapters) x group by book_id",
+)
+def g4_progress_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of each book's chapter states, equal if and only if nothing changed."""
+    states = table(spark, sf_dir, "chapters").select("book_id", "number", "state").distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("number", "state"))), lambda x: F.concat(x["number"].cast("string"), F.lit(":"), x["state"]))
+    return states.groupBy("book_id").agg(F.sha2(F.array_join(listed, ","), 256).alias("fingerprint"))
+
+
+@query("g11_source_signatures", "select id, sha256(concat_ws('|', source_url, encoding, toc_selector, content_selector, title_selector)) as signature from sources")
+def g11_source_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of what a site's scan depends on."""
+    parts = F.concat_ws("|", "source_url", "encoding", "toc_selector", "content_selector", "title_selector")
+    return table(spark, sf_dir, "sources").select("id", F.sha2(parts, 256).alias("signature"))
+
+
+@query(
+    "s10_sample_pairs",
+    "select book_id, number, pos, src, dst from (" + SQL["j12_positional_zip"].replace("length(src) as src_chars, length(dst) as dst_chars", "src, dst") + ") x where number in (1, 2, 3)",
+)
+def s10_sample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source and translated paragraphs of the first three chapters of each book, side by side: a report's own selection."""
+    source = paragraphs(spark, sf_dir).filter("number in (1, 2, 3)").withColumnRenamed("t", "src")
+    return source.join(targets(spark, sf_dir).withColumnRenamed("t", "dst"), ["book_id", "number", "pos"])
+
+
+@query(
+    "k3_status",
+    """
+select 'chapters' as what, state as value, count(*) as n from chapters group by state
+union all select 'calls', status, count(*) from calls group by status
+union all select 'candidates', state, count(*) from source_candidates group by state
+""",
+)
+def k3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status report's counts."""
+
+    def counts(name: str, column: str, what: str) -> DataFrame:
+        return table(spark, sf_dir, name).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n")
+
+    return counts("chapters", "state", "chapters").unionByName(counts("calls", "status", "calls")).unionByName(counts("source_candidates", "state", "candidates"))

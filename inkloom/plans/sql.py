@@ -86,4 +86,13 @@ SAME = {
     "g12_exhausted": "select h.book_id, h.number from chapters h where h.source is null and not exists (select 1 from source_candidates c where c.book_id = h.book_id and c.canonical_number = h.number and c.state = 'pending' and c.attempts < 3)",
     "v12_constraint_keys": "select book_id, number, count(*) as copies from chapters group by book_id, number having count(*) > 1",
     "v12_constraint_references": "select distinct c.book_id from calls c where not exists (select 1 from books b where b.id = c.book_id)",
+    "q1_bulk_lookup": "select c.id, b.title, b.style_revision from calls c join books b on b.id = c.book_id",
+    "q2_filtered_scan": "select book_id, number, title from chapters where state = 'edited' and edited is not null",
+    "q3_ordered_scan": "select book_id, number, state from chapters where state in ('missing', 'source_review') order by book_id, number",
+    "q4_full_scan": "select id, name, source_url, encoding, toc_selector, content_selector, title_selector from sources",
+    "q5_max_probe": "select book_id, stage, max(id) as last_id, max(created) as last_created from calls group by book_id, stage",
+    "q6_append_ids": "select id, book_id, cast(row_number() over (partition by book_id order by created, id, loaded_at) as bigint) as sequence from calls",
+    "q7_insert_if_absent": "select book_id, number from source_provenance union all select h.book_id, min(h.number) as number from chapters h where not exists (select 1 from source_provenance p where p.book_id = h.book_id) group by h.book_id",
+    "t2_changed_registration": "select h.book_id, count(*) as chapters from chapters h join books b on b.id = h.book_id where h.number > b.expected group by h.book_id",
+    "g14_frozen_prints": "select p.book_id, p.number, p.fingerprint = h.source_hash as intact from source_provenance p join (select distinct book_id, number, source_hash from chapters) h on h.book_id = p.book_id and h.number = p.number",
 }
