@@ -38,7 +38,9 @@ class Reader(DataSourceReader):
             return []
         return [Rows(at, min(at + self.size - 1, last)) for at in range(first, last + 1, self.size)]
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows | None) -> Iterator[tuple]:
+        if partition is None:  # an empty table
+            return
         db = connect(self.path)
         try:
             yield from db.execute(f"select * from {quoted(self.table)} where rowid between ? and ?", (partition.first, partition.last))
