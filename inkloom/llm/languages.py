@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.tokens import spread
+from inkloom.session import small
 
 #: Labelled documents that the model is fitted on, drawn by hash; and characters taken of them all at most.
 SAMPLE, SAMPLE_CHARS = 4000, 2_500_000
@@ -245,7 +246,7 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Crf | None:
     """The model of about ``bound`` documents whose label names a language."""
     codes = spark.read.parquet(f"{sf_dir}/lang_codes.parquet").filter("lang is not null").select("label", F.col("lang").alias("code"))
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "doc_id")
-    labelled = documents.filter("text is not null").join(F.broadcast(codes.limit(10_000)), documents["lang"] == codes["label"])
+    labelled = documents.filter("text is not null").join(small(codes), documents["lang"] == codes["label"])
     total = max(labelled.count(), 1)
     share = min(1.0, bound / total)
     # In the order of a hash, so that the bound on characters leaves no kind out.
@@ -302,7 +303,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = spark.read.parquet(f"{sf_dir}/lang_codes.parquet").select("label", F.col("lang").alias("code")).dropDuplicates(["label"])
     found = label(documents, model)
     return (
-        found.join(codes, found["lang"] == codes["label"], "left")
+        found.join(small(codes), found["lang"] == codes["label"], "left")
         .filter("parts > 1 or code is null or code != language")
         .select("doc_id", "first_line", F.col("language").alias("lang"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkloom.llm import bitext, languages, mainbody, mojibake, packing, repeats, residue, tokens, truncation
+from inkloom.llm import bitext, languages, mainbody, mojibake, oracle, packing, repeats, residue, tokens, truncation
 
 
 def queries() -> dict:
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

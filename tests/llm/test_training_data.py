@@ -320,3 +320,17 @@ def test_languages_of_stretches():
     fresh = [(" ".join(random.choices(w, k=10)), c) for w, c in ((en, "en"), (fr, "fr")) for _ in range(60)]
     right = sum(s[0][1] == c for s, (_, c) in zip(languages.stretches(model, [t for t, _ in fresh]), fresh))
     assert right / len(fresh) > 0.95
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, data, name):
+    """Repeated lines and truncation against their SQL on the smallest given tables."""
+    import duckdb
+
+    connection = duckdb.connect()
+    for file in os.listdir(data):
+        connection.execute(f"create view {file.removesuffix('.parquet')} as select * from read_parquet('{data}/{file}')")
+    result = connection.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    want = sorted(result.fetchall())
+    assert rows(queries.queries()[name](spark, data).select(*columns)) == want and want
