@@ -148,6 +148,14 @@ def paragraphs(source: str | None) -> list[str] | None:
     return [x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False) for x in value] if isinstance(value, list) else None
 
 
+def salvaged(source: str | None) -> list[str]:
+    """Paragraphs of valid JSON, else the strings of an array that breaks off, the last perhaps in part."""
+    value = paragraphs(source)
+    if value is not None or not source or not source.lstrip().startswith("["):
+        return value or []
+    return [re.sub(r"\\(.)", r"\1", s) for s in re.findall(r'"((?:[^"\\]|\\.)*)(?:"|$)', source) if s]
+
+
 _REPEAT = re.compile(r"(.{2,16}?)\1\1|([A-Za-z])\2{5}")
 
 
@@ -158,14 +166,14 @@ def candidates(line: str) -> str | None:
 def find(chapters: DataFrame) -> DataFrame:
     """``book_id, number, para, kind, message`` of every candidate line of ``book_id, number, source``.
 
-    Null and empty sources and those that aren't valid JSON have none.
+    Null and empty sources and those that aren't arrays have none; of an array that breaks off, what there is counts.
     """
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for book, number, source in zip(batch["book_id"], batch["number"], batch["source"]):
-                for k, line in enumerate(paragraphs(source) or ()):
+                for k, line in enumerate(salvaged(source)):
                     if kind := candidates(line):
                         rows.append((book, number, k + 1, kind, mask(line)))
             yield pd.DataFrame(rows, columns=["book_id", "number", "para", "kind", "message"])

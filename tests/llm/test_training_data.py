@@ -101,6 +101,11 @@ def test_residue_rules():
     assert {line: residue.candidates(line) for line in kinds} == kinds
 
 
+def test_residue_of_broken_arrays():
+    assert residue.salvaged('["a\\"b", "c", "{{x}}') == ['a"b', "c", "{{x}}"]
+    assert residue.salvaged(None) == residue.salvaged("x") == residue.salvaged('{"a": "b"') == []
+
+
 def test_residue_counts_recurring_messages(spark, tables):
     folder = tables(
         chapters=[chapter("a", 1, ["联系管理员"]), chapter("a", 1, ["联系管理员"]), chapter("b", 1, ["联系管理员"]), chapter("c", 1, ["返回首页"]), chapter("c", 2, ["他走了。", "{{text}}"])]
