@@ -9,6 +9,7 @@ doubt. Rules run before the hashes are grouped, so that only candidates move.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -85,6 +86,11 @@ def mask(line: str) -> str:
     return _SPLIT.sub("", line)
 
 
+def hashed(text: str) -> int:
+    """A 64-bit hash; texts may hold half a surrogate pair, as JSON can."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def repeated(bare: str) -> str | None:
     """The unit that a text repeats three whole times or more, with nothing but the start of another behind."""
     if len(bare) < 6:
@@ -175,13 +181,12 @@ def find(chapters: DataFrame) -> DataFrame:
             for book, number, source in zip(batch["book_id"], batch["number"], batch["source"]):
                 for k, line in enumerate(salvaged(source)):
                     if kind := candidates(line):
-                        rows.append((book, number, k + 1, kind, mask(line)))
+                        rows.append((book, number, k + 1, kind, hashed(mask(line))))
             yield pd.DataFrame(rows, columns=["book_id", "number", "para", "kind", "message"])
 
-    found = chapters.select("book_id", "number", "source").mapInPandas(
-        rules, "book_id string, number long, para long, kind string, message string"
+    return chapters.select("book_id", "number", "source").mapInPandas(
+        rules, "book_id string, number long, para long, kind string, message long"
     )
-    return found.withColumn("message", F.xxhash64("message"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ ODD = [
     {"book_id": "a", "number": 6, "source": json.dumps(["很长的一段话，没有说完" * 20_000 + "。"], ensure_ascii=False)},
     {"book_id": "a", "number": 6, "source": json.dumps(["很长的一段话，没有说完" * 20_000 + "。"], ensure_ascii=False)},
     {"book_id": "a", "number": 7, "source": "not json", "translated": "{", "edited": '{"paragraphs": 3}'},
+    {"book_id": "a", "number": 9, "source": '["\\ud83d NaN", "NaN", "\\ud83d", "{{x}} \\ude00"]', "translated": '{"paragraphs": [{"id": 1, "text": "\\ud83d a."}]}'},
     {"book_id": "a", "number": 8, "source": '["他说。"]', "translated": '{"paragraphs": [{"id": "x"}, null, {"id": 1, "text": null}]}'},
 ]
 
