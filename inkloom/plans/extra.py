@@ -46,7 +46,9 @@ def x33_reader_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def one(value: str | None) -> list[str]:
         try:
-            return reading.reader_paragraphs([(p.get("text", ""), bool(p.get("join_previous"))) for p in reading.loads(value)["paragraphs"]])
+            found = reading.reader_paragraphs([(p.get("text", ""), bool(p.get("join_previous"))) for p in reading.loads(value)["paragraphs"]])
+            # JSON can hold half a surrogate pair, a column can't.
+            return [text.encode("utf-8", "replace").decode() for text in found]
         except (ValueError, KeyError, TypeError):
             return []
 
