@@ -27,7 +27,9 @@ from inkloom.session import small
 SAMPLE, SAMPLE_CHARS = 4000, 2_500_000
 BITS = 18
 #: Longest word; runs without spaces are cut into pieces of this many letters.
-PIECE, LONGEST = 6, 24
+PIECE, LONGEST = 3, 24
+#: Weight of a word's script among its features.
+SCRIPT = 3
 #: Documents that are labelled together.
 BLOCK = 256
 
@@ -51,7 +53,7 @@ def words_of(line: str) -> list[str]:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, word) arrays: 1-3-grams with word ends, the word, affixes of two and three."""
+    """(feature, word) arrays: 1-4-grams with the word's ends (affixes among them), the word, its script."""
     text = "".join(f"\x02{w}\x03" for w in words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
@@ -71,6 +73,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.add.reduceat((points + np.uint64(1)) * (position.astype(np.uint64) * _PRIME[1] + _PRIME[2]), start)
     out.append((whole * _PRIME[3] >> np.uint64(40)) & bound)
     of.append(np.arange(len(words)))
+    # The script, by blocks of code points, several times over: it must outweigh n-grams never seen.
+    block = points[start + 1] // np.uint64(0x80)
+    block = np.where((block >= 0x68) & (block < 0x140), np.uint64(0x68), block)
+    script = ((block + np.uint64(7)) * _PRIME[4] >> np.uint64(30)) & bound
+    out += [script] * SCRIPT
+    of += [np.arange(len(words))] * SCRIPT
     return np.concatenate(out).astype(np.int64), np.concatenate(of)
 
 
@@ -84,6 +92,8 @@ class Crf:
         self.bias = np.zeros(k)
         self.edges = np.full((k, k), np.log(1e-4))
         np.fill_diagonal(self.edges, 0.0)
+        # Transitions from a line's last word to the next line's first.
+        self.breaks = self.edges.copy()
         self.cache: dict[str, np.ndarray] = {}
 
     def nodes(self, words: list[str]) -> np.ndarray:
@@ -126,33 +136,40 @@ class Crf:
         self.weights, self.bias = w.astype(np.float32), bias
         self.cache.clear()
 
-    def marginals(self, documents: list[list[str]]) -> list[np.ndarray]:
-        """Forward-backward over each document's words; documents of like length go together."""
+    def marginals(self, documents: list[list[str]], lines: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Forward-backward over each document's words; documents of like length go together.
+
+        ``lines`` has the line of each word; without it a document is one line.
+        """
         k = len(self.languages)
         out: list[np.ndarray] = [np.empty((0, k))] * len(documents)
         order = sorted((i for i, d in enumerate(documents) if d), key=lambda i: len(documents[i]))
-        transition = np.exp(self.edges - np.logaddexp.reduce(self.edges, axis=1, keepdims=True))
+        inside, across = (np.exp(e - np.logaddexp.reduce(e, axis=1, keepdims=True)) for e in (self.edges, self.breaks))
         for at in range(0, len(order), BLOCK):
             block = order[at : at + BLOCK]
             sizes = np.array([len(documents[i]) for i in block])
             longest = int(sizes.max())
             emit = np.ones((longest, len(block), k))
+            fresh = np.zeros((longest, len(block), 1), bool)
             flat = np.exp(self.nodes([w for i in block for w in documents[i]]))
             start = np.concatenate([[0], np.cumsum(sizes)])
             for j in range(len(block)):
                 emit[: sizes[j], j] = flat[start[j] : start[j + 1]]
+                if lines is not None:
+                    fresh[1 : sizes[j], j, 0] = np.diff(lines[block[j]]) > 0
             forward = np.empty_like(emit)
             now = np.full((len(block), k), 1 / k) * emit[0]
             forward[0] = now / now.sum(axis=1, keepdims=True)
             for t in range(1, longest):
-                now = (forward[t - 1] @ transition) * emit[t]
+                now = np.where(fresh[t], forward[t - 1] @ across, forward[t - 1] @ inside) * emit[t]
                 forward[t] = now / now.sum(axis=1, keepdims=True)
             back = np.ones((len(block), k))
             both = np.empty_like(emit)
             for t in range(longest - 1, -1, -1):
                 both[t] = forward[t] * back
                 # Behind a document's end nothing is known: the message stays flat there.
-                step = (back * emit[t]) @ transition.T
+                message = back * emit[t]
+                step = np.where(fresh[t], message @ across.T, message @ inside.T)
                 back = np.where((t < sizes)[:, None], step / step.sum(axis=1, keepdims=True), 1.0)
             both /= both.sum(axis=2, keepdims=True)
             for j, i in enumerate(block):
@@ -178,7 +195,7 @@ def stretches(model: Crf, texts: list[str | None]) -> list[list[tuple[int, str,
     """``(first line from 1, language, confidence)`` of each text's stretches; none for a text without letters."""
     split = [lines_words(t) for t in texts]
     out = []
-    for (words, at), marginal in zip(split, model.marginals([w for w, _ in split])):
+    for (words, at), marginal in zip(split, model.marginals([w for w, _ in split], [at for _, at in split])):
         found: list[list] = []
         if words:
             weight = np.array([len(w) for w in words], dtype=float)
@@ -209,15 +226,17 @@ def fit(texts: list[str], labels: list[str]) -> Crf | None:
         return None
     model = Crf(languages)
     index = {c: k for k, c in enumerate(languages)}
-    documents, truth = [], []
+    documents, places, truth = [], [], []
     for text, label in zip(texts, labels):
-        words, _ = lines_words(text)
+        words, at = lines_words(text)
         if words:
             documents.append(words)
+            places.append(at)
             truth.append(index[label])
             plain = [bare(w) for w in words]
             if plain != words and label == "vi":
                 documents.append(plain)
+                places.append(at)
                 truth.append(index[label])
     keep = np.ones(len(documents), dtype=bool)
     spans: list[np.ndarray] = [np.full(len(d), c) for d, c in zip(documents, truth)]
@@ -228,12 +247,12 @@ def fit(texts: list[str], labels: list[str]) -> Crf | None:
             return None
         model.fit_nodes(words, answers)
         # Transitions as the model itself labels the sample.
-        best = [m.argmax(axis=1) for k in range(0, len(documents), 2000) for m in model.marginals(documents[k : k + 2000])]
+        best = [m.argmax(axis=1) for k in range(0, len(documents), 2000) for m in model.marginals(documents[k : k + 2000], places[k : k + 2000])]
         k = len(languages)
-        counts = np.full((k, k), 0.5)
-        for b in best:
-            np.add.at(counts, (b[:-1], b[1:]), 1)
-        model.edges = np.log(counts / counts.sum(axis=1, keepdims=True))
+        counts = np.full((2, k, k), 0.5)
+        for b, at in zip(best, places):
+            np.add.at(counts, ((np.diff(at) > 0).astype(int), b[:-1], b[1:]), 1)
+        model.edges, model.breaks = np.log(counts / counts.sum(axis=2, keepdims=True))
         if round_ == 0:
             # Wrong labels: most words contradict. Mixed documents: words keep the language they were found to have.
             agree = np.array([(b == c).mean() for b, c in zip(best, truth)])
