@@ -128,7 +128,7 @@ def classify(line: str) -> str | None:
         number = re.sub(r"[0-9]+", "0", text)
         if any(p in number for p in FILLER):
             return "weak"
-        if WEAK.fullmatch(re.sub(r"[0-9]{2,}", "0", bare)) or re.fullmatch(r"[45][0-9]{2}", bare):
+        if WEAK.fullmatch(re.sub(r"[0-9]+", "0", bare)) or re.fullmatch(r"[45][0-9]{2}", bare):
             return "weak"
     if text.isascii() and len(bare) >= 24:
         words = re.findall(r"[a-z]+", text)
