@@ -58,8 +58,14 @@ PAIRS = (
 
 #: Log-probabilities of entering and of leaving a garbled state, and the floor of emissions.
 ENTER, LEAVE, FLOOR = math.log(1e-5), math.log(1e-2), 1e-7
+#: Log-odds of a sign of a block that a pair never gives.
+UNSEEN = math.log(FLOOR) + 9.0
 #: The model is fitted on this many texts, drawn by hash.
 SAMPLE = 3000
+#: Encodings whose misreading of a character depends on its neighbours.
+DOUBLE = ("utf-8", "gb18030", "cp950", "cp932", "cp949")
+#: Signs that no sample holds are smoothed over blocks of this many code points.
+BLOCK = 256
 #: A character is suspect from this log-odds of a garbled state over the clean one.
 SUSPECT = 3.0
 LOST = "�"
@@ -84,13 +90,13 @@ def misread(text: str, pair: tuple[str, ...]) -> str:
 
 #: Bytes of single-byte encodings without a character stand for the control with the same number, as browsers have it.
 def decode(data: bytes, name: str) -> str:
-    if name in ("utf-8", "gb18030", "cp950", "cp932", "cp949"):
+    if name in DOUBLE:
         return data.decode(name, "replace")
     return "".join(_single(name)[b] for b in data)
 
 
 def encode(text: str, name: str) -> bytes:
-    if name in ("utf-8", "gb18030", "cp950", "cp932", "cp949"):
+    if name in DOUBLE:
         return text.encode(name, "ignore")
     back = _back(name)
     return bytes(back[c] for c in text if c in back)
@@ -125,11 +131,7 @@ def restore(text: str, pair: tuple[str, ...]) -> tuple[str, bool]:
                 whole = False
                 continue
             try:
-                pieces.append(
-                    part.encode(wrong)
-                    if wrong in ("utf-8", "gb18030", "cp950", "cp932", "cp949")
-                    else bytes(_back(wrong)[c] for c in part)
-                )
+                pieces.append(part.encode(wrong) if wrong in DOUBLE else bytes(_back(wrong)[c] for c in part))
             except (UnicodeError, KeyError):
                 return text, False
         data = b"".join(pieces)
@@ -253,17 +255,40 @@ def repaired(value: str | None, model: Labels) -> tuple[str, bool] | None:
     return "".join(out) + value[at:], all(complete for *_, complete in spans)
 
 
+def emitted(lines: list[str], characters: Counter, pair: tuple[str, ...]) -> Counter:
+    """What a pair makes of all the lines, or of their characters by count where neighbours don't matter."""
+    if pair[-1] in DOUBLE:
+        # No misreading gives a line feed of its own or reads over one.
+        found = Counter(misread("\n".join(lines), pair)) if "utf-8-lost" not in pair else Counter(misread("中" * 1000, pair))
+        del found["\n"]
+        return found
+    found = Counter()
+    for c, n in characters.items():
+        for g in misread(c, pair):
+            found[g] += n
+    return found
+
+
+def by_block(counts: Counter) -> dict[int, float]:
+    """Probability of each sign of a block that was not seen (Witten-Bell within the block)."""
+    size, tokens, types = sum(counts.values()) or 1, Counter(), Counter()
+    for c, n in counts.items():
+        tokens[ord(c) // BLOCK] += n
+        types[ord(c) // BLOCK] += 1
+    return {b: n / size * types[b] / (n + types[b]) / max(1, BLOCK - types[b]) for b, n in tokens.items()}
+
+
 def learn(texts: list[str]) -> Labels:
     """Fit the emissions: clean ones by counting, each pair's by misreading the clean texts."""
     texts = [t for t in texts if t]
     for round_ in range(2):
         clean = Counter("".join(texts))
         total = sum(clean.values()) or 1
-        sample = "".join(texts)[:400_000]
-        base = "".join(c for c in sample if ord(c) > 127 and c != LOST)
+        lines = ["".join(c for c in t if ord(c) > 127 and c != LOST) for t in texts]
+        wide = Counter({c: n for c, n in clean.items() if ord(c) > 127 and c != LOST})
+        counts = [emitted([t for t in lines if t], wide, pair) for pair in PAIRS]
         states = []
-        for pair in PAIRS:
-            garbled = Counter(misread(base[:120_000], pair))
+        for garbled in counts:
             size = sum(garbled.values()) or 1
             states.append({c: n / size for c, n in garbled.items()})
         alphabet = set(clean).union(*states)
@@ -279,11 +304,20 @@ def learn(texts: list[str]) -> Labels:
                 odds[c][-1] = -9.0
                 continue
             odds[c] = np.log(np.maximum(q, FLOOR)) - math.log(max(p, FLOOR if c != LOST else 1e-12))
+        blocks, usual = [by_block(g) for g in counts], by_block(clean)
+        for block in set().union(*blocks):
+            q = np.array([s.get(block, 0.0) for s in blocks])
+            q = np.log(np.maximum(q, FLOOR)) - math.log(max(usual.get(block, 0.0), FLOOR))
+            # A pair that makes no sign of the block is against it as against any unseen sign.
+            q = np.where([block in s for s in blocks], q, UNSEEN)
+            for c in map(chr, range(block * BLOCK, (block + 1) * BLOCK)):
+                if not (c in odds or c.isascii() or c in NEUTRAL or "！" <= c <= "～" or "\ud800" <= c <= "\udfff"):
+                    odds[c] = q
         odds[CUT] = np.full(len(PAIRS), -2.0)
         suspect = sorted(c for c, o in odds.items() if o.max() > SUSPECT and not c.isascii())
         labels = Labels(
             odds,
-            np.full(len(PAIRS), math.log(FLOOR) + 9.0),
+            np.full(len(PAIRS), UNSEEN),
             re.compile("[" + "".join(map(re.escape, suspect)) + "]") if suspect else re.compile("(?!)"),
             {c: math.log(n / total) for c, n in clean.items()},
         )
