@@ -11,6 +11,7 @@ from inkloom.operators import dedup
 from inkloom.operators.terms import differs, merged
 from inkloom.plans.sql import NOW
 from inkloom.session import small, table
+from inkloom.sources.files import insert_ignore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -435,6 +436,18 @@ def x31_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", X.tidy(F.col("text")).alias("tidy"))
 
 
+@query(
+    "k1_insert_ignore",
+    "select book_id, number, title from chapters union all select c.book_id, c.canonical_number, min(c.title) from source_candidates c where c.canonical_number is not null and not exists (select 1 from chapters h where h.book_id = c.book_id and h.number = c.canonical_number) group by c.book_id, c.canonical_number",
+)
+def k1_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chapters and those numbered candidates that no chapter has yet; of equal ones the least title (K1)."""
+    old = table(spark, sf_dir, "chapters").select("book_id", "number", "title")
+    numbered = table(spark, sf_dir, "source_candidates").filter("canonical_number is not null")
+    new = numbered.groupBy("book_id", F.col("canonical_number").alias("number")).agg(F.min("title").alias("title"))
+    return insert_ignore(old, new, ["book_id", "number"])
+
+
 @query("x35_json", "select book_id, number, json_extract_string(translated, '$.title') as title, cast(json_array_length(translated, '$.paragraphs') as bigint) as paragraphs from chapters where translated is not null and json_valid(translated)")
 def x35_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.from_json("translated", "struct<title:string,paragraphs:array<struct<id:int,text:string>>>")

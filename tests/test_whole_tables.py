@@ -26,3 +26,14 @@ def test_tidy_has_every_text(spark, tables):
     folder = tables(documents=[{"doc_id": k, "text": t} for k, t in enumerate(texts)])
     found = {r["doc_id"]: r["tidy"] for r in registry.queries()["x31_tidy_all"](spark, folder).collect()}
     assert found == {k: brute(t) for k, t in enumerate(texts) if t is not None}
+
+
+def test_upsert_meets_conflicts_over_all_numbers(spark, tables):
+    chapters = [("a", 1, "一"), ("a", 11, "十一"), ("a", 11, "十一"), ("b", 10, "十")]
+    candidates = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "x"), ("a", 11, "x"), ("a", 12, "z"), ("b", None, "x"), ("c", 1, "w")]
+    folder = tables(
+        chapters=[dict(zip(("book_id", "number", "title"), x)) for x in chapters],
+        source_candidates=[dict(zip(("book_id", "canonical_number", "title"), x)) for x in candidates],
+    )
+    found = registry.queries()["k1_insert_ignore"](spark, folder).collect()
+    assert sorted(tuple(r) for r in found) == sorted([*chapters, ("a", 2, "x"), ("a", 12, "z"), ("c", 1, "w")])
