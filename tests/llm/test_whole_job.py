@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 
-from inkloom.llm import mojibake
+from inkloom.llm import cleaning, mojibake, queries
 
 
 def test_emissions_come_from_every_line():
@@ -18,3 +19,42 @@ def test_emissions_come_from_every_line():
         assert garbled and all(model.odds[c][k] > mojibake.SUSPECT for c in garbled), pair
     # Signs that no line gave are judged by their block.
     assert all(chr(c) in model.odds for c in range(0x9500, 0x9600))
+
+
+def test_found_paragraphs_are_taken_out(spark, tables):
+    chapters = [
+        ("a", 1, '["一。", "菜单", "二。\\n", "菜单"]'),
+        ("a", 1, '["一。", "菜单", "二。\\n", "菜单"]'),
+        ("a", 2, '[ "一。",  "“二”。"]'),
+        ("a", 3, '["菜单"]'),
+        ("b", 1, '["断'),
+        ("b", 2, None),
+        (None, 1, '["x"]'),
+        (None, 1, '["y"]'),
+    ]
+    df = spark.createDataFrame([(*c, "t") for c in chapters], "book_id string, number long, source string, title string")
+    found = spark.createDataFrame([("a", 1, 2), ("a", 1, 4), ("a", 1, 4), ("a", 3, 1)], "book_id string, number long, para long")
+    out = [tuple(r) for r in cleaning.without(df, found).collect()]
+    kept = {(b, n): s for b, n, s, _ in out if b}
+    assert json.loads(kept["a", 1]) == ["一。", "二。\n"] and json.loads(kept["a", 3]) == []
+    assert {k: v for k, v in kept.items() if k not in (("a", 1), ("a", 3))} == {("a", 2): chapters[2][2], ("b", 1): chapters[4][2], ("b", 2): None}
+    assert sorted((n, r) for b, n, _, r in out if b == "a") == [(1, 2), (2, 0), (3, 1)]
+    assert sorted(s for b, _, s, _ in out if b is None) == ['["x"]', '["y"]'] and len(out) == 7
+
+
+def test_second_results_follow_the_found_ones(spark, tables):
+    line = "手机用户请到阅读页面继续阅读本站最新章节"
+    chapters = [
+        {"book_id": f"b{n % 3}", "number": n, "title": f"第{n}章", "url": "https://s/x", "source": json.dumps([line, f"甲{'乙丙丁戊'[n % 4]}{n}走了。", "{{chapter.content}}"][: 3 if n == 5 else 2], ensure_ascii=False)}
+        for n in range(40)
+    ]
+    folder = tables(chapters=chapters, sources=[{"id": "s", "source_url": "https://s/"}, {"id": "t", "source_url": "https://t/"}])
+    for name, cleaned in (("p2_found", "p2_cleaned"), ("p6_found", "p6_story")):
+        found = {tuple(r) for r in queries.queries()[name](spark, folder).collect()}
+        assert found or name == "p6_found"
+        for r in queries.queries()[cleaned](spark, folder).collect():
+            before = json.loads(chapters[r["number"]]["source"])
+            assert json.loads(r["source"]) == [x for k, x in enumerate(before) if (r["book_id"], r["number"], k + 1) not in found]
+    residue = {tuple(r) for r in queries.queries()["p1_found"](spark, folder).collect()}
+    kept = {tuple(r)[:2] for r in queries.queries()["p1_kept"](spark, folder).collect()}
+    assert residue and kept == {(c["book_id"], c["number"]) for c in chapters} - residue
