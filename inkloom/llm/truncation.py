@@ -77,8 +77,17 @@ where prose and gram rlike '^[^ ]*[一-鿿，。“]$' and gram rlike '[一-鿿]
   or dotted and s.mid >= {seen} and s.stop + s.final - 1 <= {last} * s.mid)
 """
 
+#: As FLAGS, and grams of any signs by their counts, a number being one sign; an open quotation mark counts whatever the line ends in.
+ANY = FLAGS[: FLAGS.index("select distinct")].replace(" as prose from", " as prose, rtrim(' ', tail) as tail from") + """
+select distinct book_id, number from judged
+where (prose or length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %') and tail rlike '[一-鿿]' and not gram rlike '[锟斤拷]' and (
+  unquoted
+  or (unclosed or torn) and s.mid + s.stop >= {seen} and s.final - 1 <= {last} * (s.mid + s.stop)
+  or dotted and s.mid >= {seen} and s.stop + s.final - 1 <= {last} * s.mid)
+"""
+
 
-def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST) -> DataFrame:
+def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST, flags: str = FLAGS) -> DataFrame:
     """``book_id, number`` of pages (``book_id, number, lines``) with a paragraph that breaks off.
 
     Null and empty lines and lines of one or two characters don't break off.
@@ -87,20 +96,32 @@ def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST) -> DataFram
     spark = pages.sparkSession
     exploded = pages.select("book_id", "number", F.explode("lines").alias("line")).withColumn("line", F.rtrim("line"))
     clean = exploded.filter("length(line) > 2 and not line like '%�%'")
-    grams = spark.sql(GRAMS, lines=clean.select(signs(F.regexp_replace("line", "([.][.]+|…)$", "")).alias("text")))
+    # What follows a number, not a digit, tells whether a text goes on behind it.
+    folded = (lambda text: F.regexp_replace(signs(text), "0+", "0")) if flags == ANY else signs
+    grams = spark.sql(GRAMS, lines=clean.select(folded(F.regexp_replace("line", "([.][.]+|…)$", "")).alias("text")))
     counts = cut(spark.sql(COUNTS, grams=grams))
-    ends = spark.sql(ENDS, exploded=exploded.filter("length(line) > 2")).withColumn("tail", signs(F.col("tail")))
-    return spark.sql(FLAGS.replace("{seen}", str(seen)).replace("{last}", str(last)), ends=ends, counts=counts)
+    ends = spark.sql(ENDS, exploded=exploded.filter("length(line) > 2")).withColumn("tail", folded(F.col("tail")))
+    return spark.sql(flags.replace("{seen}", str(seen)).replace("{last}", str(last)), ends=ends, counts=counts)
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence."""
+def broken_off(spark: SparkSession, sf_dir: str, flags: str) -> DataFrame:
+    """``book_id, number`` of chapters whose JSON breaks off or with a paragraph that ``flags`` finds."""
     chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source")
     broken = chapters.filter("ltrim(source) like '[%'").filter(
         ~F.trim("source").endswith("]") | lines_of(F.col("source")).isNull()
     )
     pages = chapters.select("book_id", "number", lines_of(F.col("source")).alias("lines")).filter("lines is not null")
-    return broken.select("book_id", "number").unionByName(cut_ends(pages)).distinct()
+    return broken.select("book_id", "number").unionByName(cut_ends(pages, flags=flags)).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence."""
+    return broken_off(spark, sf_dir, FLAGS)
+
+
+def p4_found_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `p4_found`, which asks for a Han sign or a mark at the cut, but for cuts inside numbers and behind letters and signs too."""
+    return broken_off(spark, sf_dir, ANY)
 
 
 def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:

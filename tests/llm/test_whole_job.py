@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import random
 
-from inkloom.llm import cleaning, mojibake, queries
+from inkloom.llm import cleaning, mojibake, queries, truncation
 
 
 def test_emissions_come_from_every_line():
@@ -58,3 +58,13 @@ def test_second_results_follow_the_found_ones(spark, tables):
     residue = {tuple(r) for r in queries.queries()["p1_found"](spark, folder).collect()}
     kept = {tuple(r)[:2] for r in queries.queries()["p1_kept"](spark, folder).collect()}
     assert residue and kept == {(c["book_id"], c["number"]) for c in chapters} - residue
+
+
+def test_cuts_inside_numbers_and_behind_signs(spark, tables):
+    whole = ["张三推开了客栈的门，付了40文钱。", "李四看了一眼T恤上的字。", "他翻到《旧事》那一页。"]
+    rows = [("a", n, whole * 3) for n in range(1, 40)]
+    cuts = ["张三推开了客栈的门，付了4", "李四看了一眼T", "他翻到《", "张三说：“付了4"]
+    rows += [("b", n, [text]) for n, text in enumerate(cuts)] + [("c", 1, ["李四看了一眼T恤上的字。"])]
+    chapters = [{"book_id": b, "number": n, "source": json.dumps(x, ensure_ascii=False)} for b, n, x in rows]
+    found = truncation.p4_found_any(spark, tables(chapters=chapters)).collect()
+    assert sorted(tuple(r) for r in found) == [("b", n) for n in range(4)]
