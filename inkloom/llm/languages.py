@@ -25,6 +25,8 @@ from inkloom.session import small
 
 #: Labelled documents that the model is fitted on, drawn by hash; and characters taken of them all at most.
 SAMPLE, SAMPLE_CHARS = 4000, 2_500_000
+#: A longer text gives the sample the whole lines among this many of its first characters.
+LONG_TEXT = SAMPLE_CHARS // 50
 BITS = 18
 #: Longest word; runs without spaces are cut into pieces of this many letters.
 PIECE, LONGEST = 3, 24
@@ -268,8 +270,11 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Crf | None:
     labelled = documents.filter("text is not null").join(small(codes), documents["lang"] == codes["label"])
     total = max(labelled.count(), 1)
     share = min(1.0, bound / total)
+    start = F.left("text", F.lit(LONG_TEXT))
+    lines = F.regexp_replace(start, r"[\r\n][^\r\n]*$", "")
+    head = F.when(F.length("text") <= LONG_TEXT, F.col("text")).when(lines.rlike(r"\p{L}"), lines).otherwise(start)
     # In the order of a hash, so that the bound on characters leaves no kind out.
-    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text", "code").limit(2 * bound).toLocalIterator()
+    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("doc_id", "text"), "doc_id").select(head.alias("text"), "code").limit(2 * bound).toLocalIterator()
     texts, labels, chars = [], [], 0
     for row in rows:
         chars += len(row["text"])
@@ -277,7 +282,10 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Crf | None:
             break
         texts.append(row["text"])
         labels.append(row["code"])
-    return fit(texts, labels)
+    model = fit(texts, labels)
+    if model is None and not labelled.filter(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no language model could be fitted on the labelled documents")
+    return model
 
 
 def label(documents: DataFrame, model: Crf | None) -> DataFrame:

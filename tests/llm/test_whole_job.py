@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import random
 
-from inkloom.llm import cleaning, mojibake, queries, truncation
+from inkloom.llm import cleaning, languages, mojibake, queries, truncation
 
 
 def test_emissions_come_from_every_line():
@@ -68,3 +68,15 @@ def test_cuts_inside_numbers_and_behind_signs(spark, tables):
     chapters = [{"book_id": b, "number": n, "source": json.dumps(x, ensure_ascii=False)} for b, n, x in rows]
     found = truncation.p4_found_any(spark, tables(chapters=chapters)).collect()
     assert sorted(tuple(r) for r in found) == [("b", n) for n in range(4)]
+
+
+def test_long_text_does_not_end_the_sample(spark, tables, monkeypatch):
+    monkeypatch.setattr(languages, "SAMPLE_CHARS", 20_000)
+    monkeypatch.setattr(languages, "LONG_TEXT", 400, raising=False)
+    texts = [("vi", "Anh ấy mở cửa quán trọ rồi đi về phía bến sông.\n" * 2000), ("en", "He opened the door of the inn and went away.\n" * 2000)]
+    texts += [("fr", "Il ouvrit la porte de l'auberge et partit.")]
+    folder = tables(
+        documents=[{"doc_id": k, "lang": code, "text": text} for k, (code, text) in enumerate(texts)],
+        lang_codes=[{"label": code, "lang": code} for code, _ in texts],
+    )
+    assert languages.fitted(spark, folder).languages == ["en", "fr", "vi"]
