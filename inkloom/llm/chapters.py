@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def lines_of(source: Column) -> Column:
     return F.when(whole, F.from_json(source, "array<string>", {"allowSingleQuotes": "false"}))
 
 
+def paragraphs(source: str | None) -> list[str] | None:
+    """The same in Python."""
+    try:
+        value = json.loads(source) if source else None
+    except ValueError:
+        return None
+    return [x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False) for x in value] if isinstance(value, list) else None
+
+
 def masked(text: Column) -> Column:
     """What stays of a line without case, width, spacing, punctuation, ornaments, numbers and dates."""
     bare = F.regexp_replace(F.lower(F.translate(text, WIDE, NARROW)), r"[^\p{L}\p{N}\p{M}]+", "")

@@ -1,200 +1,306 @@
 """Problem 1: template residue, filler and error pages instead of content.
 
-Numbers, addresses and dates of a line are masked; lines whose masked form has
-the same hash are one message. Placeholder rules find residue anywhere in a
-line, phrase rules tell which lines are messages of a template, a server or a
-script check; a message counts where it recurs or where its phrase leaves no
-doubt. Rules run before the hashes are grouped, so that only candidates move.
+Every line is masked (numbers, addresses, identifiers, dates, and units that
+only repeat) and hashed; equal hashes are one message, and messages are grouped
+exactly over books and sites. What recurs is then classified once a message:
+by phrase patterns of several languages, which must make up most of the
+message, or by company, when it stands mostly on pages of such messages with
+no line of their own. Placeholders are told inside a sentence as well, by their delimiters,
+so that these need no recurrence; neither does Latin filler, which never
+comes twice alike.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.chapters import table
+from inkloom.llm.chapters import NARROW, NUMERAL, WIDE, lines_of, table
+from inkloom.session import cut, few
 
-#: A weak message must occur in this many books.
+#: A message must occur in this many books.
 RECUR = 2
-#: A message is no longer than this many letters.
-LONGEST = 60
-
-_NAME = r"[A-Za-z_一-鿿][\w.|\-]{0,40}"
-#: Delimiters of template languages around a name (fixed values).
-PLACEHOLDER = re.compile(
-    "|".join(
-        (
-            rf"\{{\{{\s*{_NAME}\s*\}}\}}",
-            rf"\{{%\s*{_NAME}\s*%\}}",
-            rf"<%=?\s*{_NAME}\s*%>",
-            rf"[$#]\{{\s*{_NAME}\s*\}}",
-            rf"\{{\$?{_NAME}\}}",
-            rf"\[\[\s*{_NAME}\s*\]\]",
-            rf"\[%\s*{_NAME}\s*%\]",
-            rf"\$\${_NAME}\$\$",
-            rf"@@{_NAME}@@",
-            rf"(?<![0-9\w])%{_NAME}%(?!\w*%)|(?<=[一-鿿])%[A-Za-z_][\w.]*%|(?<=[一-鿿])%[一-鿿]{{1,8}}%",
-            rf"__[A-Za-z一-鿿](?:[\w.|\-]{{0,40}}?[A-Za-z一-鿿])?__",
-            rf"‹{_NAME}›",
-            rf"&lt;/?{_NAME}/?&gt;",
-            rf"<[A-Za-z_一-鿿][\w.]*/>",
-        )
+#: Share of a message's letters that phrases must explain.
+EXPLAINED = 0.6
+#: Share of a line's chapters that hold told messages and recurring lines only, from which its company tells, and their books.
+COMPANY, COMPANY_BOOKS = 0.5, 2
+
+_NAME = r"[A-Za-z_一-鿿][\w一-鿿.|\-]*"
+#: Delimiters of template languages around a name, and what programs print for nothing (fixed values).
+PLACEHOLDER = "(?=[{<$#\\[%@_&‹])(?:" + "|".join(
+    (
+        rf"\{{\{{\s*{_NAME}\s*\}}\}}",
+        rf"\{{%\s*{_NAME}\s*%\}}",
+        rf"<%=?\s*{_NAME}\s*%>",
+        rf"[$#]\{{\s*{_NAME}\s*\}}",
+        rf"\{{\$?{_NAME}\}}",
+        r"\{[0-9]{1,2}\}",
+        rf"\[\[\s*{_NAME}\s*\]\]",
+        rf"\[%\s*{_NAME}\s*%\]",
+        r"\[(?:INSERT|ENTER|ADD|YOUR|TITLE|NAME|TEXT|CONTENT)(?:[ _][A-Z]+)*\]",
+        rf"\$\${_NAME}\$\$",
+        rf"@@{_NAME}@@",
+        rf"(?<![0-9A-Za-z_一-鿿])%{_NAME}%(?!\w*%)|(?<=[一-鿿])%[A-Za-z_][\w.]*%|(?<=[一-鿿])%[一-鿿]+%",
+        r"%\([A-Za-z_]\w*\)[sd]",
+        r"__[A-Za-z一-鿿](?:[\w一-鿿.|\-]*[A-Za-z一-鿿])?__",
+        rf"‹{_NAME}›",
+        rf"&lt;/?{_NAME}/?&gt;",
+        r"<[A-Za-z_一-鿿][\w一-鿿.]*/>",
     )
-)
-#: Values that a program prints for nothing (fixed values).
-NOTHING = re.compile(r"(?<![A-Za-z])(?:undefined|null|NaN|\[object Object\])(?![A-Za-z])")
-NOTHING_LINE = re.compile(r"(?i)\W*(?:undefined|null|nan|nil|none|n/a|\[object object\])(?:\W+(?:undefined|null|nan|nil|none))*\W*")
-#: Words of filler text (fixed values).
-FILLER = ("占位", "示例段落", "示例文字", "样例文字", "实际内容", "仅供排版", "填写章节", "填写正文", "甲乙丙丁", "补正文", "待补", "测试测试", "正文正文", "lorem", "ipsum", "todo", "placeholder", "sample text", "test 0 test")
-#: Phrases of messages that leave no doubt (fixed values).
-STRONG = (
-    "加载失败", "正文载入", "内容获取中", "正在加载", "正在手打", "章节内容获取", "稍后刷新", "本章待补", "您找的页面", "您访问的页面", "查看此页的权限",
-    "线路拥挤", "更换线路", "系统维护", "后端接口", "接口返回", "读取失败", "值班人员", "会话已过期", "请求过于频繁", "访问过于频繁", "次数过多", "请求超时", "脚本被拦截", "章节无法呈现",
-    "浏览器版本过旧", "动态阅读器", "打开 javascript", "启用 javascript", "开启 javascript", "启用javascript", "打开javascript", "开启javascript", "需要脚本", "启用脚本",
-    "服务器开小差", "服务器繁忙", "服务器错误", "页面走丢", "网关超时", "bad gateway", "could not be located", "could not be found", "page not found", "moved or removed",
-    "too many requests", "no answer in time", "timed out", "unexpected condition", "something broke", "something went wrong", "internal server error", "service unavailable",
-    "access denied", "permission to view", "database link", "connection refused", "turn on scripting", "enable js", "enable javascript", "scripts off", "requires javascript",
-    "needs javascript", "loading, please wait", "please wait", "under maintenance", "session has expired", "session expired", "không tìm thấy trang", "máy chủ", "thử lại sau",
-    "đang tải nội dung", "bật javascript", "tắt javascript", "trình duyệt của bạn",
+) + ")"
+NOTHING = r"(?<![A-Za-z])(?:undefined|null|NaN|\[object Object\])(?![A-Za-z])"
+NOTHING_LINE = r"(?i)\b(?:undefined|null|nan|nil|none|n/a)\b|\[object object\]"
+
+#: Function words: Latin text without any of them is filler (fixed values).
+COMMON = (
+    "the of and to in is for on at you we this that with your are be no not or it by as please read more all only need back error "
+    "de la le les et en un une des que du est pas dan yang di ini itu tidak untuk cua va la khong mot co cho voi duoc trong nguoi "
+    "he she they was were has have had his her but from like if so can will went something nothing who what "
+    "http loading copyright tags chapter vol"
 )
-#: Whole lines that stand on such pages (fixed values).
-WEAK = re.compile(
-    r"(?:联系管理员|重新载入|返回首页|刷新|五秒后自动跳转|.{0,4}秒后自动跳转|如何开启点此查看|back|retry|reload|请稍候|请稍后|(?:error|http|lỗi|错误|状态码|出错了|错误代码(?:js)?)0|0错误|(?:trace|request ?id|请求编号|时间戳)\W?[0-9a-f]+)"
+
+#: Phrases of messages, by kind and language; ``S`` stands for a short stretch without a full stop (fixed values).
+PHRASES = {
+    "status": (
+        r"\b[45]\d\d\b\W*(?:error|错误|not found|forbidden|unauthorized|gone|bad gateway|too many|internal|service|gateway|request|nginx|apache)",
+        r"\b(?:error|http|status|code|lỗi|erreur|kesalahan|错误|错误码|错误代码|状态码|代码|出错了?)\W{0,3}(?:code|js|no)?\W{0,3}\d{1,4}\b",
+        r"^\W*[45]\d\d\W*$",
+        r"\b(?:trace|request|ray|correlation|incident|reference)[ _-]?(?:id)?\W{0,3}(?=[0-9a-f-]*\d)[0-9a-f-]{6,}\b|(?:请求编号|追踪编号|时间戳|请求 ?id)\W{0,3}[0-9a-f-]{6,}",
+        r"\b(?:bad|invalid|malformed) request\b|\bunauthorized\b|^\W*forbidden\W*$|\bbad gateway\b|\bgateway time-?out\b",
+    ),
+    "gone": (
+        r"\b(?:page|url|resource|file|document|content|link|chapter|template|address|article)\bS(?:not (?:be )?(?:found|located)|n[o']t (?:exist|be found|found)|no longer|moved|removed|deleted|unavailable|expired|gone|missing)\b",
+        r"\b(?:can(?:no|')t|could not|unable to) (?:find|locate)\b",
+        r"(?:页面?|网页|网址|地址|链接|内容|章节|正文|资源|文件|文章|本章|数据|信息)T(?:不存在|找不到|没找到|未找到|走丢|丢失|已?(?:经|被)?(?:删除|下架|搬走|移除|屏蔽|失效|转移)|为空|审核中|待补|补充中)",
+        r"(?:找不到|未找到|没有找到|不存在)T(?:页面?|网页|网址|地址|链接|内容|章节|资源|文件)",
+        r"(?:您|你)(?:要|所|想)?(?:找|访问|查看|请求|浏览)的T(?:页面?|网页|内容|资源|章节)",
+        r"(?:trang|nội dung|liên kết|chương|tệp)S(?:không (?:tồn tại|tìm thấy)|đã bị (?:xóa|gỡ))|không tìm thấy (?:trang|nội dung|chương|tệp)",
+        r"page introuvable|(?:page|contenu)S(?:n'existe|introuvable|supprimée?)",
+        r"(?:halaman|konten|tautan)S(?:tidak (?:ditemukan|ada|tersedia)|dihapus)",
+        r"(?:ページ|コンテンツ|ファイル)S(?:見つかりません|存在しません|削除されました)",
+    ),
+    "access": (
+        r"\b(?:access|permission|request)\bS(?:denied|forbidden|blocked|refused|rejected)\b|\bpermission to (?:view|access|see)\b|\battention required\b",
+        r"(?:没有|无|暂无|缺少)T权限|权限不足|无权(?:访问|查看|浏览)|(?:访问|请求|连接)(?:已?被|遭到|受到)?(?:拒绝|禁止|拦截|限制)|(?:禁止|拒绝|无法)访问",
+        r"không có quyền|truy cậpS(?:từ chối|bị chặn)|từ chối truy cập|accès (?:refusé|interdit)|akses (?:ditolak|dilarang)|アクセスS(?:拒否|禁止)",
+        r"(?:会话|登录|登陆|凭证|令牌)(?:状态)?已?经?(?:过期|失效|超时|到期)|\bsession\bS(?:expired|timed out|ended)\b|phiênS(?:hết hạn)",
+        r"(?:访问|请求|操作|点击|刷新)(?:次数)?(?:过于|太过|过|太)(?:频繁|多|快)|\btoo many (?:requests|connections|attempts)\b|\brate limit|quá nhiều (?:yêu cầu|lượt)|trop de requêtes",
+        r"(?:验证码|安全验证|人机验证)|\bsecurity check\b|\bverify(?:ing)?\b.{0,12}\bhuman\b|\bchecking your browser\b|\bddos protection\b|^\W*just a moment\W*$",
+    ),
+    "server": (
+        r"\b(?:server|gateway|service|site|website|system|database|connection|network|upstream|host|backend)\bS(?:error|busy|overload(?:ed)?|unavailable|timed? ?-?out|refused|reset|down|maintenance|failed|gave no|unable|not respond(?:ing)?|interrupted)\b",
+        r"\b(?:error|unable|failed|failure|cannot|could not|can't)\bS(?:server|database|connect(?:ion)?|load|fetch|content|establish|respond)\b|\brequest (?:failed|timed? ?-?out)\b",
+        r"(?:服务器?|网关|数据库|后端|接口|系统|网络|网站|本站|站点|线路|程序|连接|主机)T(?:错误|异常|繁忙|拥挤|超时|过载|故障|失败|维护|中断|断开|重置|不可用|开小差|崩溃|宕机|不给力|无响应|未响应|空值|出错|返回空|升级)",
+        r"(?:数据|正文|页面|内容|章节)?(?:加载|读取|获取|载入|请求|响应|连接)(?:失败|超时|出错|异常|错误)|(?:无法|不能|未能)(?:访问|连接|打开|加载|显示|呈现|获取)",
+        r"(?:máy chủ|hệ thống|kết nối|cơ sở dữ liệu|mạng|dịch vụ)S(?:lỗi|bận|bảo trì|quá tải|không phản hồi|gián đoạn|thất bại)|(?:lỗi|không thể)S(?:kết nối|máy chủ|hệ thống|tải)|(?:xảy ra|có) lỗi",
+        r"(?:serveur|service|connexion|système)S(?:erreur|occupé|indisponible|maintenance|interrompue)|erreur (?:interne|du serveur|de connexion)|erreur est survenue",
+        r"(?:server|sistem|koneksi)S(?:kesalahan|sibuk|gangguan|pemeliharaan|gagal)|terjadi kesalahan|gagal memuat",
+        r"(?:サーバー?|システム|接続|ネットワーク)S(?:エラー|できません|混み合|タイムアウト)|エラーが発生|メンテナンス",
+        r"\bsomething (?:went wrong|broke|is broken)\b|\b(?:unexpected|unknown|fatal|internal|uncaught)(?: \w+)? (?:error|exception|condition)\b|\berror (?:has )?occurred\b|\bisn't working\b|\b(?:for|under|down for) maintenance\b|\bbe (?:right )?back soon\b",
+        r"(?:未知|系统|网络|内部|参数|请求|程序|数据库|服务器)(?:参数|内部)?(?:错误|异常)|(?:发生|出现)了?(?:未知|内部)?(?:错误|异常)",
+    ),
+    "script": (
+        r"\b(?:enable|turn(?:ing)? on|activate|allow|requires?|needs?|without|disabled?|blocked)\bS(?:javascript|js|scripts?|scripting|cookies?)\b|\b(?:javascript|js|scripts?|scripting|cookies)\bS(?:on|off|disabled|required|blocked|enabled|not supported)\b",
+        r"(?:开启|启用|打开|允许|需要|不支持|支持|禁用|关闭|拦截)T(?:javascript|\bjs\b|脚本|cookie|阅读器)|(?:javascript|\bjs\b|脚本|cookie)T(?:被|已|未|关闭|禁用|启用|开启|打开|不可用|拦截|支持)",
+        r"(?:浏览器|阅读器|客户端)T(?:过旧|过低|太旧|太低|不支持|不兼容|升级|更新)|(?:更换|升级|更新)T浏览器",
+        r"\bbrowser\bS(?:out of date|outdated|not supported|unsupported|too old)\b|\b(?:update|upgrade) your browser\b",
+        r"(?:bật|tắt|kích hoạt|hỗ trợ|cần)S(?:javascript|cookie)|trình duyệtS(?:cũ|không hỗ trợ|cập nhật)",
+        r"(?:activer|activez|nécessite|désactivé|requiert)S(?:javascript|cookies)|navigateurS(?:à jour|obsolète|pris en charge)",
+        r"(?:aktifkan|butuh|membutuhkan)S(?:javascript|cookie)|javascriptS(?:有効|無効|オン)|ブラウザS(?:対応|古い|更新)",
+    ),
+    "wait": (
+        r"^\W*(?:\w+ ){0,3}(?:is |now )?loading\b|\bplease wait\b|\bredirecting\b|đang tải|chargement|veuillez patienter|memuat|読み込み中|お待ち",
+        r"(?:加载|载入|读取|获取|手打|跳转|转码)(?:中|\W*\d+ ?%)|正在(?:为您)?(?:加载|载入|读取|获取|手打|跳转|转码)",
+    ),
+    "action": (
+        r"^\W*(?:请?(?:联系|咨询)(?:管理员|客服|站长|值班人员)|(?:点击)?重新(?:载入|加载|尝试)|(?:点击)?重试|(?:点击)?刷新(?:页面|重试)?|返回(?:首页|上页)|\w{1,4}秒后(?:自动)?跳转|如何开启\W*点此查看|back|go back|retry|reload|refresh|try again)\W*$",
+    ),
+    "filler": (
+        r"\blorem\b|\bipsum\b|\bplaceholder\b|\b(?:sample|dummy|example|filler) (?:text|content|title)\b|\b(?:insert|enter|add|type|your)\b(?: your)?(?: \w+)? (?:here|goes here)\b|^\W*(?:todo|tbd|fixme)\b|\btest \d+ test\b",
+        r"占位|(?:示例|样例|测试|范例)(?:段落|文字|文本|内容|数据|测试)|(?:填写|输入|插入|替换为|补充?)T(?:章节|实际|正文|标题|文字|文本|内容)|仅供排版|待补|待填|甲乙丙丁戊|暂无(?:内容|数据|正文|简介)|正文正文",
+    ),
+}
+
+#: What else such messages are made of; it explains letters and tells nothing by itself (fixed values).
+COURTESY = (
+    r"请?(?:您|你)?(?:稍后|稍候|稍等|片刻|重新|再次|重|再|返回|点击|刷新|更换|联系|等待|检查|尝试|休息|歇|登录|加载|打开|进入|访问|查看|继续|操作|回来|来|试|次)+(?:一下|一会儿?|一次|此页|本页|首页|页面|网络|浏览器|线路|管理员|值班人员|客服|再|后)*",
+    r"页面?|网页|网址|地址|链接|章节|内容|正文|资源|文件|数据|浏览器|阅读器|版本|服务器?|系统|网站|网络|脚本|javascript",
+    r"对不起|抱歉|很遗憾|您的?|你的?|当前|本页|此页|该页|本章|该|已经?|或者?|被|后才能|预计\S{0,4}恢复|设置里?|功能|请在?|检测到|显示|的|了",
+    r"(?:sorry|oops|whoops|please|try|again|later|retry|reload|refresh|back|check|contact|the|page|we|our|your?|to|continue|and|or|in|soon|moment|log|sign|this)\b",
+    r"(?:vui lòng|xin|hãy|thử lại|sau|quay lại|để đọc|để tiếp tục|bật lại|trang|bạn|yêu cầu)",
+    r"(?:veuillez|réessayer|plus tard|silakan|coba lagi|nanti|anda|しばらく|ください|ただいま|お使いの)",
 )
-#: Common short words: Latin text without any of them is filler (fixed values).
-COMMON = frozenset("the of and to in is for on at you we this that with your are be no not or it by as de la le les et en un une des que du est pas dan yang di ini itu tidak untuk của và là không một có cho với được trong người để read more all only need back please error http loading copyright tags chapter".split())
+#: Marks of telling: someone speaks, thinks or is spoken of (fixed values).
+TELLING = r"[他她它]|[说问喊道]：|低声|笑道|心想|\b(?:he|she|his|her|they|said|asked)\b|(?:hắn|nàng|chàng|nói|hỏi)\b|“.*”|「.*」"
+
+#: Units of two or three letters that are filler when they repeat; others are sounds (fixed values).
+UNITS = ("测试", "正文", "内容", "文字", "文本", "示例", "占位", "样例", "test", "text", "abc", "asdf", "xxx")
+_GARBLED = frozenset("锟斤拷烫屯")
 
 _SPLIT = re.compile(r"[\W_]+")
 
 
-def plain(line: str) -> str:
-    return unicodedata.normalize("NFKC", line).casefold()
+def _phrase(text: str) -> str:
+    """A pattern with its stretches: S has no end of a sentence, T is a few Han characters without a mark."""
+    return text.replace("S(", r"[^.!?;。！？；]{0,60}?(").replace(")S", r")[^.!?;。！？；]{0,60}?").replace("T(", "[^，。！？；,.!?;“”]{0,6}(").replace("T", "[^，。！？；,.!?;“”]{0,6}")
 
 
-def mask(line: str) -> str:
-    """A line without addresses, identifiers, numbers, dates, punctuation and spacing."""
-    line = re.sub(r"https?://\S+|(?:[\w-]+\.)+[a-z]{2,}\S*", "0", plain(line))
-    line = re.sub(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", "0", line)
-    line = re.sub(r"[0-9零〇一二三四五六七八九十百千万两]+", "0", line)
-    return _SPLIT.sub("", line)
+_KINDS = {kind: re.compile("|".join(map(_phrase, p)), re.IGNORECASE) for kind, p in PHRASES.items()}
+#: A clause around a Latin phrase is explained by it; of Chinese and Japanese only the phrase and a few signs are.
+_EXPLAIN = re.compile(
+    "|".join(
+        rf"(?:[^.!?;,。！？；，⺀-鿿]*(?:{_phrase(p)})[^.!?;,。！？；，⺀-鿿]*)" for kind in PHRASES for p in PHRASES[kind]
+    ),
+    re.IGNORECASE,
+)
+_COURTESY = re.compile("|".join(COURTESY), re.IGNORECASE)
+_TELLING = re.compile(TELLING, re.IGNORECASE)
 
 
-def hashed(text: str) -> int:
-    """A 64-bit hash; texts may hold half a surrogate pair, as JSON can."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def plain(line: str) -> str:
+    return unicodedata.normalize("NFKC", line).casefold()
 
 
 def repeated(bare: str) -> str | None:
     """The unit that a text repeats three whole times or more, with nothing but the start of another behind."""
-    if len(bare) < 6:
+    found = re.match(r"(.+?)\1\1+", bare, re.S)
+    if not found:
         return None
-    if len(set(bare)) == 1:
-        return bare[0] if bare[0].isascii() else None
-    for n in range(2, min(16, len(bare) // 3) + 1):
-        unit = bare[:n]
-        if len(set(unit)) > 1 and all(c.isascii() or "一" <= c <= "鿿" for c in unit) and (unit * (len(bare) // n + 1))[: len(bare)] == bare:
-            return unit
-    return None
+    unit = found[1]
+    return unit if (unit * (len(bare) // len(unit) + 1)).startswith(bare) else None
 
 
 def classify(line: str) -> str | None:
-    """``placeholder``, ``filler`` or ``message`` beyond doubt, ``weak`` for a message only if it recurs, else None."""
-    if not line or line.isspace():
-        return None
-    if any(c in line for c in "{}[%$@_<&‹") and PLACEHOLDER.search(line):
-        return "placeholder"
-    if line.isascii() is False and len(line) > 400 and "\n" not in line:
-        text = line
-    else:
-        text = plain(line)
-    if ("N" in line or "u" in line or "[o" in line) and NOTHING.search(line) and "“" not in line:
-        return "placeholder"
+    """The kind of a recurring message, None for any other line."""
+    text = plain(line).strip()
     bare = _SPLIT.sub("", text)
-    if NOTHING_LINE.fullmatch(line):
-        return "placeholder"
-    if len(bare) <= LONGEST and any(p in text for p in STRONG) and not re.search(r"“[^”]*(?:" + "|".join(map(re.escape, STRONG[:12])) + ")", text):
-        return "message"
+    if not bare:
+        return None
     unit = repeated(bare)
-    if unit is not None and not any(c in "锟斤拷烫屯" for c in unit):
-        return "filler"
-    if len(bare) <= LONGEST:
-        number = re.sub(r"[0-9]+", "0", text)
-        if any(p in number for p in FILLER):
-            return "weak"
-        if WEAK.fullmatch(re.sub(r"[0-9]+", "0", bare)) or re.fullmatch(r"[45][0-9]{2}", bare):
-            return "weak"
-    if text.isascii() and len(bare) >= 24:
-        words = re.findall(r"[a-z]+", text)
-        if len(words) >= 4 and sum(map(len, words)) >= 0.9 * len(bare) and not any(w in COMMON for w in words):
-            return "filler"
+    if unit is not None and len(bare) >= 6:
+        if _GARBLED & set(unit):
+            return None
+        if len(set(unit)) == 1:
+            return "filler" if unit[0].isascii() else None
+        return "filler" if len(unit) >= 4 or unit in UNITS else None
+    if _TELLING.search(text):
+        return None
+    for kind, pattern in _KINDS.items():
+        if pattern.search(text):
+            left = _SPLIT.sub("", _COURTESY.sub("", _EXPLAIN.sub("", text)))
+            return kind if len(left) <= (1 - EXPLAINED) * len(bare) else None
     return None
 
 
-#: A line without any of these can't be residue of the kinds above: the cheap test before the rules.
-_QUICK = re.compile(
-    r"[{\[%$@<&‹_]|[A-Za-zÀ-ỹ]{2}|"
-    + "|".join(sorted({re.escape(p[:2]) for p in (*STRONG, *FILLER) if not p[0].isascii()}))
-    + r"|联系|重新|返回|刷新|跳转|如何|请稍|错误|状态|出错|请求|时间|^[0-9]{3}$"
-)
-
-
-def paragraphs(source: str | None) -> list[str] | None:
-    """Paragraphs of valid JSON, else None."""
-    try:
-        value = json.loads(source) if source else None
-    except ValueError:
-        return None
-    return [x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False) for x in value] if isinstance(value, list) else None
+def read(source: Column) -> Column:
+    """Paragraphs of a JSON array of strings; of one that breaks off, those there are, the last perhaps in part."""
+    torn = F.regexp_replace(source, r"\\u?[0-9a-fA-F]{0,3}$", "")
+    ends = [F.lit('"]'), F.lit("]"), F.lit('""]')]
+    broken = F.when(F.ltrim(source).startswith("["), F.coalesce(*(lines_of(F.concat(torn, e)) for e in ends)))
+    return F.coalesce(lines_of(source), broken)
+
+
+def form(line: Column) -> Column:
+    """A line without addresses, identifiers, numbers, dates, marks, spacing, width and case; of what only repeats, the unit."""
+    text = F.lower(F.translate(line, WIDE, NARROW))
+    # Addresses and identifiers have Latin letters; most lines have none.
+    latin = F.regexp_replace(F.regexp_replace(text, r"https?://[!-~]+|[a-z0-9-]+\.[a-z]{2,}[!-~]*", "0"), r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", "0")
+    text = F.when(text.rlike("[a-z]"), latin).otherwise(text)
+    bare = F.regexp_replace(F.regexp_replace(text, NUMERAL, "0"), r"[^\p{L}\p{N}\p{M}]+", "")
+    unit, rest = (F.regexp_extract(bare, r"^(.+?)\1\1+(.*)$", k) for k in (1, 2))
+    return F.when((unit != "") & F.startswith(unit, rest), F.concat(F.lit("×"), unit)).otherwise(bare)
+
+
+def inside(line: Column) -> Column:
+    """Whether a line holds a placeholder or a printed nothing, or is Latin filler: told by the line itself."""
+    words = "|".join(COMMON.split())
+    latin = (
+        line.rlike(r"[A-Za-z]\P{L}+[A-Za-z]+\P{L}+[A-Za-z]+\P{L}+[A-Za-z]")
+        & ~line.rlike("[^\\x00-\\x7f]")
+        & (F.length(line) >= 24)
+        & (F.length(F.regexp_replace(line, r"[^A-Za-z]", "")) >= 0.75 * F.length(line))
+        & ~line.rlike(rf"(?i)\b(?:{words})\b")
+    )
+    return (
+        line.rlike(PLACEHOLDER)
+        | (line.rlike(NOTHING) & ~F.contains(line, F.lit("“")))
+        | (line.rlike(NOTHING_LINE) & ~F.regexp_replace(line, NOTHING_LINE, "").rlike(r"[\p{L}\p{N}]"))
+        | latin
+    )
 
 
-def salvaged(source: str | None) -> list[str]:
-    """Paragraphs of valid JSON, else the strings of an array that breaks off, the last perhaps in part."""
-    value = paragraphs(source)
-    if value is not None or not source or not source.lstrip().startswith("["):
-        return value or []
-    return [re.sub(r"\\(.)", r"\1", s) for s in re.findall(r'"((?:[^"\\]|\\.)*)(?:"|$)', source) if s]
+def forms(chapters: DataFrame) -> DataFrame:
+    """``book_id, number, book, residue, keys, raws``: for each line whether it is residue by itself, and the hashes of its form and of itself."""
+    lines = chapters.select("book_id", "number", read(F.col("source")).alias("lines")).filter("lines is not null")
+    return lines.select(
+        "book_id",
+        "number",
+        # A book is where a message comes from; rows without one share the source ''.
+        F.xxhash64(F.coalesce("book_id", F.lit(""))).alias("book"),
+        F.transform("lines", lambda x: F.coalesce(inside(x), F.lit(False))).alias("residue"),
+        F.transform("lines", lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), F.xxhash64(form(x)))).alias("keys"),
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("raws"),
+    )
 
 
-_REPEAT = re.compile(r"(.{2,16}?)\1\1|([A-Za-z])\2{5}")
+def messages(pages: DataFrame, chapters: DataFrame, recur: int = RECUR) -> DataFrame:
+    """``key`` of every recurring message that phrases or company tell.
 
+    ``pages`` are `forms` of ``chapters``, cut from their lineage.
+    """
+    lines = pages.select("book_id", "number", "book", F.explode(F.arrays_zip("keys", "raws")).alias("x"))
+    lines = lines.select("book_id", "number", "book", F.col("x.keys").alias("key"), F.col("x.raws").alias("raw"))
+    counts = lines.filter("key is not null").groupBy("key", "book").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
+    often = cut(
+        counts.groupBy("key").agg(F.count("*").alias("books"), F.min("raw").alias("raw")).filter(F.col("books") >= recur).select("key", "raw")
+    )
+    recurring = few(often)
 
-def candidates(line: str) -> str | None:
-    return classify(line) if _QUICK.search(line) or _REPEAT.match(line) else None
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kinds = [classify(x) for x in batch["line"]]
+            yield batch.loc[[k is not None for k in kinds], ["key"]]
+
+    # One line of each recurring message is read again, by its hash.
+    texts = chapters.select(F.explode(read(F.col("source"))).alias("line")).select("line", F.xxhash64("line").alias("raw"))
+    told = cut(texts.join(recurring, "raw").groupBy("key").agg(F.min("line").alias("line")).mapInPandas(judge, "key long"))
+    # Pages on which every line recurs and one is told hold no story: what stands mostly there is told as well.
+    marked = lines.join(recurring.select("key", F.lit(1).alias("known")), "key", "left").join(
+        few(told).select("key", F.lit(1).alias("told")), "key", "left"
+    )
+    pages_of = marked.groupBy("book_id", "number", "book").agg(
+        (F.expr("count_if(known = 1 or key is null) = count(*)") & F.expr("count_if(told = 1) > 0")).alias("alone"),
+        F.collect_set(F.expr("if(known = 1, key, null)")).alias("keys"),
+    )
+    company = (
+        pages_of.select("book", "alone", F.explode("keys").alias("key"))
+        .groupBy("key", "book")
+        .agg(F.count("*").alias("n"), F.expr("count_if(alone)").alias("alone"))
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.expr("count_if(alone > 0)").alias("books"))
+        .filter((F.col("alone") >= COMPANY * F.col("n")) & (F.col("books") >= COMPANY_BOOKS))
+        .select("key")
+    )
+    return cut(told.unionByName(company).distinct())
 
 
-def find(chapters: DataFrame) -> DataFrame:
-    """``book_id, number, para, kind, message`` of every candidate line of ``book_id, number, source``.
+def find(chapters: DataFrame, recur: int = RECUR) -> DataFrame:
+    """``book_id, number`` of every chapter of ``book_id, number, source`` with residue; may repeat.
 
     Null and empty sources and those that aren't arrays have none; of an array that breaks off, what there is counts.
     """
-
-    def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for book, number, source in zip(batch["book_id"], batch["number"], batch["source"]):
-                for k, line in enumerate(salvaged(source)):
-                    if kind := candidates(line):
-                        rows.append((book, number, k + 1, kind, hashed(mask(line))))
-            yield pd.DataFrame(rows, columns=["book_id", "number", "para", "kind", "message"])
-
-    return chapters.select("book_id", "number", "source").mapInPandas(
-        rules, "book_id string, number long, para long, kind string, message long"
-    )
+    pages = cut(forms(chapters))
+    told = messages(pages, chapters, recur)
+    alone = F.exists("residue", lambda x: x)
+    lines = pages.filter(~alone).select("book_id", "number", F.explode("keys").alias("key"))
+    return pages.filter(alone).select("book_id", "number").unionByName(lines.join(few(told), "key", "left_semi").select("book_id", "number"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number`` of every chapter with residue in at least one paragraph."""
-    found = find(table(spark, sf_dir, "chapters"))
-    sure = found.filter("kind != 'weak'").select("book_id", "number")
-    weak = found.filter("kind = 'weak'")
-    recurring = (
-        weak.groupBy("message", "book_id").count().groupBy("message").agg(F.count("*").alias("books")).filter(F.col("books") >= RECUR)
-    )
-    return sure.unionByName(weak.join(recurring, "message", "left_semi").select("book_id", "number")).distinct()
+    return find(table(spark, sf_dir, "chapters").select("book_id", "number", "source")).distinct()

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkloom.llm import bitext, chapters, languages, mainbody, mojibake, packing, queries, repeats, residue, tokens, truncation
 from inkloom.llm.bpe import LONG, ByteBpe
@@ -75,7 +76,7 @@ def test_odd_tables(spark, tables, name, kind):
     queries.queries()[name](spark, folder).collect()
 
 
-def test_residue_rules():
+def test_residue_rules(spark):
     kinds = {
         "{{ title }}": "placeholder",
         "他把${hero}递给她。": "placeholder",
@@ -99,12 +100,15 @@ def test_residue_rules():
         "* * *": None,
         "“哈哈哈哈哈哈哈。”": None,
     }
-    assert {line: residue.candidates(line) for line in kinds} == kinds
+    df = spark.createDataFrame([(line,) for line in kinds], "line string")
+    alone = {r["line"] for r in df.filter(residue.inside(F.col("line"))).collect()}
+    assert alone == {line for line, kind in kinds.items() if kind == "placeholder" or line.startswith("Lorq")}
+    assert {line for line in kinds if residue.classify(line)} - alone == {line for line, kind in kinds.items() if kind} - alone
 
 
-def test_residue_of_broken_arrays():
-    assert residue.salvaged('["a\\"b", "c", "{{x}}') == ['a"b', "c", "{{x}}"]
-    assert residue.salvaged(None) == residue.salvaged("x") == residue.salvaged('{"a": "b"') == []
+def test_residue_of_broken_arrays(spark):
+    df = spark.createDataFrame([('["a\\"b", "c", "{{x}}',), ('["a", "b\\u4e',), ('["a", ',), ("x",), ('{"a": "b"',), (None,)], "source string")
+    assert [r[0] for r in df.select(residue.read(F.col("source"))).collect()] == [['a"b', "c", "{{x}}"], ["a", "b"], ["a", ""], None, None, None]
 
 
 def test_residue_counts_recurring_messages(spark, tables):
@@ -239,7 +243,7 @@ def test_main_body_keeps_story(spark, data):
     text = {(r["book_id"], r["number"]): r["source"] for r in chapters.table(spark, data, "chapters").collect()}
     for book, number, para in keys:
         line = json.loads(text[book, number])[para - 1]
-        assert not mainbody.BREAK.fullmatch(line) and residue.candidates(line) is None
+        assert not mainbody.BREAK.fullmatch(line) and residue.classify(line) is None
 
 
 @needs_vocabulary
