@@ -205,20 +205,35 @@ def read(source: Column) -> Column:
     return F.coalesce(lines_of(source), broken)
 
 
-def form(line: Column) -> Column:
-    """A line without addresses, identifiers, numbers, dates, marks, spacing, width and case; of what only repeats, the unit."""
-    text = F.lower(F.translate(line, WIDE, NARROW))
-    # Addresses and identifiers have Latin letters; most lines have none.
-    latin = F.regexp_replace(F.regexp_replace(text, r"https?://[!-~]+|[a-z0-9-]+\.[a-z]{2,}[!-~]*", "0"), r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", "0")
-    text = F.when(text.rlike("[a-z]"), latin).otherwise(text)
-    bare = F.regexp_replace(F.regexp_replace(text, NUMERAL, "0"), r"[^\p{L}\p{N}\p{M}]+", "")
-    unit, rest = (F.regexp_extract(bare, r"^(.+?)\1\1+(.*)$", k) for k in (1, 2))
-    return F.when((unit != "") & F.startswith(unit, rest), F.concat(F.lit("×"), unit)).otherwise(bare)
+def formed(lines: Column) -> Column:
+    """Lines without addresses, identifiers, numbers, dates, marks, spacing, width and case; of what only repeats, the unit.
+
+    Step by step over the array: a step's result is computed once a line,
+    however often the next one reads it.
+    """
+    text = F.transform(lines, lambda x: F.lower(F.translate(x, WIDE, NARROW)))
+
+    def latin(x: Column) -> Column:
+        # Addresses and identifiers have Latin letters; most lines have none.
+        free = F.regexp_replace(F.regexp_replace(x, r"https?://[!-~]+|[a-z0-9-]+\.[a-z]{2,}[!-~]*", "0"), r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b", "0")
+        return F.when(x.rlike("[a-z]"), free).otherwise(x)
+
+    bare = F.transform(
+        F.transform(text, latin), lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}\p{M}]+", ""), NUMERAL, "0")
+    )
+
+    def unit(x: Column) -> Column:
+        again, rest = (F.regexp_extract(x, r"^(.+?)\1\1+(.*)$", k) for k in (1, 2))
+        return F.when(x.rlike(r"^(.+?)\1\1") & F.startswith(again, rest), F.concat(F.lit("×"), again)).otherwise(x)
+
+    return F.transform(bare, unit)
 
 
 def inside(line: Column) -> Column:
     """Whether a line holds a placeholder or a printed nothing, or is Latin filler: told by the line itself."""
     words = "|".join(COMMON.split())
+    # Most lines have none of the signs that any of these need.
+    able = line.rlike(r"[A-Za-z{<$#\[%@_&‹]")
     latin = (
         line.rlike(r"[A-Za-z]\P{L}+[A-Za-z]+\P{L}+[A-Za-z]+\P{L}+[A-Za-z]")
         & ~line.rlike("[^\\x00-\\x7f]")
@@ -226,12 +241,13 @@ def inside(line: Column) -> Column:
         & (F.length(F.regexp_replace(line, r"[^A-Za-z]", "")) >= 0.75 * F.length(line))
         & ~line.rlike(rf"(?i)\b(?:{words})\b")
     )
-    return (
+    told = (
         line.rlike(PLACEHOLDER)
         | (line.rlike(NOTHING) & ~F.contains(line, F.lit("“")))
         | (line.rlike(NOTHING_LINE) & ~F.regexp_replace(line, NOTHING_LINE, "").rlike(r"[\p{L}\p{N}]"))
         | latin
     )
+    return F.when(able, told).otherwise(False)
 
 
 def forms(chapters: DataFrame) -> DataFrame:
@@ -243,7 +259,7 @@ def forms(chapters: DataFrame) -> DataFrame:
         # A book is where a message comes from; rows without one share the source ''.
         F.xxhash64(F.coalesce("book_id", F.lit(""))).alias("book"),
         F.transform("lines", lambda x: F.coalesce(inside(x), F.lit(False))).alias("residue"),
-        F.transform("lines", lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), F.xxhash64(form(x)))).alias("keys"),
+        F.transform(formed(F.col("lines")), lambda x: F.when(x != "", F.xxhash64(x))).alias("keys"),
         F.transform("lines", lambda x: F.xxhash64(x)).alias("raws"),
     )
 

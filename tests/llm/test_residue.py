@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from inkloom.llm import residue
 from messages import HELD, SPOKEN, TUNED
 
@@ -37,8 +39,7 @@ def test_stories_may_speak_of_messages(spark, tables):
 
 def test_masks(spark):
     def forms(*lines):
-        df = spark.createDataFrame([(x,) for x in lines], "line string")
-        return [r[0] for r in df.select(residue.form(df["line"])).collect()]
+        return spark.createDataFrame([(list(lines),)], "lines array<string>").select(residue.formed(F.col("lines"))).first()[0]
 
     same = forms("Error 404 at 2024-01-02", "ＥＲＲＯＲ 500  at 2023-11-30!", "error 3 — at 1-2-3")
     assert len(set(same)) == 1
