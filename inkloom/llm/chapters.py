@@ -41,6 +41,17 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, NUMERAL, "0"), "0年0月0日?", "0")
 
 
+def style(line: Column) -> Column:
+    """The presentation of a line: its marks as they are, each run of Han signs as 中, of other letters as a, of digits as 0."""
+    text = F.regexp_replace(F.lower(F.translate(line, WIDE, NARROW)), r"[\p{L}\p{M}&&[^\p{IsHan}]]+", "a")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{IsHan}+", "中"), "[0-9]+", "0"), r"[\s\p{Z}\p{Cf}]+", " ")
+
+
+def marks(style_: Column) -> Column:
+    """What styles of one kind share: the set of their signs, and the last one."""
+    return F.concat(F.array_join(F.array_sort(F.array_distinct(F.split(style_, ""))), ""), F.lit("/"), F.right(style_, F.lit(1)))
+
+
 def chapter_name(title: Column) -> Column:
     """The masked name of a chapter title without its number."""
     return F.regexp_replace(masked(title), "^(正文)?(第?0[章节回话卷]?)+", "")
@@ -75,10 +86,12 @@ def chapter_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_keys(spark: SparkSession, sf_dir: str, styles: bool = False) -> DataFrame:
     """``book_id, number, keys``: the hash of each line's masked form, by paragraph.
 
-    The names of the book and of the chapter at hand are masked too. Rows
+    With ``styles`` also ``styles`` and ``kinds``, the hashes of each line's
+    style and of its marks; null for lines with lost signs, which have no
+    style of their own. The names of the book and of the chapter at hand are masked too. Rows
     delivered twice may occur twice. Lines without letters have the key of ''.
     """
     books = table(spark, sf_dir, "books").groupBy("id").agg(F.min("title").alias("book_title"))
@@ -97,6 +110,15 @@ def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.replace(text, F.when(F.length("name") > 1, F.col("name")).otherwise(""), F.lit("Ⓒ"))
         return F.xxhash64(text)
 
-    return named.filter("lines is not null").select(
-        "book_id", "number", F.transform("lines", lambda x: key(F.coalesce(x, F.lit("")))).alias("keys")
+    valid = named.filter("lines is not null").withColumn("lines", F.transform("lines", lambda x: F.coalesce(x, F.lit(""))))
+    keys = F.transform("lines", key).alias("keys")
+    if not styles:
+        return valid.select("book_id", "number", keys)
+    shown = F.transform("lines", lambda x: F.when(~F.contains(x, F.lit("�")), style(x)))
+    return valid.select("book_id", "number", keys, shown.alias("shown")).select(
+        "book_id",
+        "number",
+        "keys",
+        F.transform("shown", lambda x: F.when(x.isNotNull(), F.xxhash64(x))).alias("styles"),
+        F.transform("shown", lambda x: F.when(x.isNotNull(), F.xxhash64(marks(x)))).alias("kinds"),
     )

@@ -23,11 +23,16 @@ CHAPTERS, BOOKS, SHARE = 3, 2, 1 / 30
 EVEN = 0.8
 
 
-def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``site, book_id, number, keys``, one row per chapter with valid lines; cut from its lineage."""
-    keys = line_keys(spark, sf_dir)
+def site_lines(spark: SparkSession, sf_dir: str, styles: bool = False) -> DataFrame:
+    """``site, book_id, number`` and `line_keys`, one row per chapter with valid lines; cut from its lineage.
+
+    Of rows that differ under one key, the one with the smallest keys stays.
+    """
+    keys = line_keys(spark, sf_dir, styles)
     sites = chapter_sites(spark, sf_dir)
-    return cut(keys.join(sites, ["book_id", "number"]).dropDuplicates(["book_id", "number"]))
+    values = [c for c in keys.columns if c not in ("book_id", "number")]
+    once = keys.groupBy("book_id", "number").agg(F.min(F.struct(*values)).alias("v")).select("book_id", "number", "v.*")
+    return cut(once.join(sites, ["book_id", "number"]))
 
 
 def spread(counts: DataFrame, totals: DataFrame) -> DataFrame:

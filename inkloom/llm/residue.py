@@ -197,6 +197,20 @@ def classify(line: str) -> str | None:
     return None
 
 
+_PLACEHOLDER, _NOTHING, _COMMON = re.compile(PLACEHOLDER), re.compile(NOTHING), frozenset(COMMON.split())
+
+
+def told(line: str) -> bool:
+    """Whether a line is residue by itself, or would be if it recurred."""
+    if _PLACEHOLDER.search(line) or _NOTHING.search(line) and "“" not in line:
+        return True
+    if line.isascii() and len(line) >= 24:
+        words = re.findall("[A-Za-z]+", line)
+        if len(words) >= 4 and sum(map(len, words)) >= 0.75 * len(line) and _COMMON.isdisjoint(w.lower() for w in words):
+            return True
+    return classify(line) is not None
+
+
 def read(source: Column) -> Column:
     """Paragraphs of a JSON array of strings; of one that breaks off, those there are, the last perhaps in part."""
     torn = F.regexp_replace(source, r"\\u?[0-9a-fA-F]{0,3}$", "")
