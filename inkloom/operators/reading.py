@@ -3,44 +3,58 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
+from itertools import accumulate, groupby
 
-_ENDED = re.compile(r"""[。！？!?；;.…:：][”’"'）)\]】]*$""")
-_SPOKEN = re.compile(r"([.!?…]”)\s*(?=“)")
+#: Marks that end a sentence, and marks that may close behind them (fixed values).
+ENDERS, CLOSERS = "。！？!?；;.…:：", "”’\"'）)]】"
+#: Ends of an utterance behind which another one may start.
+UTTERED = tuple(mark + "”" for mark in ".!?…")
 
 
 def tidy(text: str) -> str:
     unix = unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n")
-    return "\n\n".join(" ".join(part.split()) for part in re.split(r"\n\s*\n", unix) if part.strip())
+    # A line of white space only is a break; other line ends are wraps.
+    blocks = groupby(unix.split("\n"), key=lambda line: bool(line.strip()))
+    return "\n\n".join(" ".join(" ".join(lines).split()) for shown, lines in blocks if shown)
+
+
+def runs(items: list, starts: list[bool]) -> list[list]:
+    """``items`` cut before each start."""
+    numbered = zip(accumulate(starts, lambda n, start: n + bool(start)), items)
+    return [[item for _, item in run] for _, run in groupby(numbered, key=lambda pair: pair[0])]
+
+
+def open_ended(paragraph: str) -> bool:
+    """Whether a paragraph has text and stops inside a sentence."""
+    text = paragraph.rstrip()
+    return bool(text) and text.rstrip(CLOSERS)[-1:] not in tuple(ENDERS) and "\n\n" not in paragraph
 
 
 def groups(source: list[str], joined: list[bool]) -> list[list[int]]:
     """Indices of paragraphs that are judged together: a join counts only behind an unfinished source paragraph."""
-    out: list[list[int]] = []
-    for k, join in enumerate(joined):
-        before = source[k - 1] if 0 < k <= len(source) else ""
-        open_ = before.rstrip() and not _ENDED.search(before.rstrip()) and "\n\n" not in before
-        if out and join and open_:
-            out[-1].append(k)
-        else:
-            out.append([k])
-    return out
+    open_ = [False, *map(open_ended, source), *[False] * len(joined)]
+    return runs(list(range(len(joined))), [not (join and before) for join, before in zip(joined, open_)])
+
+
+def utterances(block: str) -> list[str]:
+    """A block cut between one utterance's end and the next one's opening quote."""
+    first, *rest = block.split("“")
+    starts = [before.rstrip().endswith(UTTERED) for before in (first, *rest[:-1])]
+    quoted = [first, *("“" + part for part in rest)]
+    pieces = ["".join(run) for run in runs(quoted, [True, *starts])]
+    return [*(piece.rstrip() for piece in pieces[:-1]), pieces[-1]]
 
 
 def reader_paragraphs(paragraphs: list[tuple[str, bool]]) -> list[str]:
     """Texts as a reader sees them: utterances apart, joined paragraphs together."""
-    out: list[str] = []
-    for text, join in paragraphs:
-        pieces = [p for p in _SPOKEN.sub("\\1\n\n", tidy(text or "")).split("\n\n")]
-        for k, piece in enumerate(pieces):
-            if not piece:
-                continue
-            if k == 0 and join and out:
-                out[-1] = f"{out[-1]} {piece}"
-            else:
-                out.append(piece)
-    return out
+    shown = [
+        (piece, not (join and k == 0))
+        for text, join in paragraphs
+        for k, piece in enumerate(piece for block in tidy(text or "").split("\n\n") for piece in utterances(block))
+        if piece
+    ]
+    return [" ".join(run) for run in runs([piece for piece, _ in shown], [start for _, start in shown])]
 
 
 def loads(raw: str, most: int = 16):
@@ -66,34 +80,39 @@ def loads(raw: str, most: int = 16):
             raw, removed = raw[:at] + raw[at + 1 :], removed + 1
 
 
+def unfenced(text: str) -> str:
+    """The content of a fenced block that is the whole text, else the text."""
+    first, _, rest = text.strip().partition("\n")
+    body, mark, behind = rest.rpartition("\n```")
+    return body if first.rstrip() in ("```", "```json") and mark and not behind else text.strip()
+
+
 def response(lines: list[str], models: set[str], agent: str) -> dict:
-    """Content and usage of one recorded stream of events, or the reason why it has none."""
-    events = [json.loads(x) for x in lines if x.strip()]
-    started = [e["init"] for e in events if e.get("event") == "init"]
-    ended = [e["result"] for e in events if e.get("event") == "result"]
-    reason = None
-    if len(started) != 1 or len(ended) != 1:
-        reason = "incomplete"
-    elif started[0].get("model") not in models:
-        reason = "model"
-    elif started[0].get("agent") != agent:
-        reason = "agent"
-    elif any((e.get("step_update") or {}).get("step_type") == "tool" for e in events):
-        reason = "tool"
-    if reason:
-        return {"content": None, "usage": None, "reason": reason}
-    end = ended[0]
-    usage = (end.get("usage") or {}).get("total_tokens")
-    valid = type(usage) is int and usage >= 0
-    if end.get("status") != "SUCCESS":
-        return {"content": None, "usage": usage if valid else None, "reason": "status"}
-    if end.get("num_turns") != 1 or not valid:
-        return {"content": None, "usage": usage if valid else None, "reason": "turns" if valid else "usage"}
-    content = end.get("structured_output")
-    if content is not None:
-        return {"content": json.dumps(content, ensure_ascii=False), "usage": usage, "reason": None}
-    text = end.get("response")
-    if not isinstance(text, str):
-        return {"content": None, "usage": usage, "reason": "empty"}
-    fenced = re.fullmatch(r"```(?:json)?\s*\n(.*?)\n```", text.strip(), re.S)
-    return {"content": fenced[1] if fenced else text.strip(), "usage": usage, "reason": None}
+    """Content and usage of one recorded stream of events, or the reason why it has none.
+
+    Events are gathered by type; the stream is good if none of the ordered
+    checks over these groups fails.
+    """
+    by_type: dict[str, list[dict]] = {"init": [], "result": [], "step_update": []}
+    for event in map(json.loads, filter(str.strip, lines)):
+        kind = event.get("event") or ("step_update" if event.get("step_update") else None)
+        for name in {kind, "step_update" if event.get("step_update") else kind} & by_type.keys():
+            by_type[name].append(event.get(name) or {})
+    init, end = ((by_type[name] + [{}])[0] for name in ("init", "result"))
+    tokens = (end.get("usage") or {}).get("total_tokens")
+    usage = tokens if type(tokens) is int and tokens >= 0 else None
+    structured, text = end.get("structured_output"), end.get("response")
+    checks = {
+        "incomplete": len(by_type["init"]) == len(by_type["result"]) == 1,
+        "model": init.get("model") in models,
+        "agent": init.get("agent") == agent,
+        "tool": all(step.get("step_type") != "tool" for step in by_type["step_update"]),
+        "status": end.get("status") == "SUCCESS",
+        "usage": usage is not None,
+        "turns": end.get("num_turns") == 1,
+        "empty": structured is not None or isinstance(text, str),
+    }
+    reason = next((name for name, passed in checks.items() if not passed), None)
+    early = ("incomplete", "model", "agent", "tool")
+    content = None if reason else json.dumps(structured, ensure_ascii=False) if structured is not None else unfenced(text)
+    return {"content": content, "usage": None if reason in early else usage, "reason": reason}

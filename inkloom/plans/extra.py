@@ -18,7 +18,7 @@ from inkloom.streaming import ledger
 def x15_whole_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and how many whole copies of themselves they hold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    return documents.select("doc_id", dedup.without_copies("p").alias("r")).select("doc_id", "r.copies", F.size("r.kept").alias("kept"))
+    return documents.select("doc_id", dedup.without_copies(F.col("p")).alias("r")).select("doc_id", "r.copies", F.size("r.kept").alias("kept"))
 
 
 @query("x31_tidy_all")

@@ -191,16 +191,41 @@ def test_overlap():
     assert 0 < dedup.overlap("abcdefgh", "abcdxfgh") < 1
 
 
-def test_whole_copies():
+def test_near_all_equals_brute_force(spark):
+    random.seed(11)
+    base = ["".join(random.choices("天地玄黄宇宙洪荒日月盈昃", k=random.choice([1, 3, 6, 12, 25, 29, 30, 34, 60]))) for _ in range(25)]
+    rows = []
+    for g in ("x", "y"):
+        for t in base:
+            k = random.randrange(len(t))
+            rows += [(g, t), (g, t[:k] + "变" + t[k + 1 :]), (g, t[k // 3 :] or t), (g, t + "尾")]
+    rows = [(g, k, t) for k, (g, t) in enumerate(rows)] + [("x", 900, None), ("x", 901, ""), ("x", 902, rows[0][1])]
+    df = spark.createDataFrame(rows, "g string, id long, t string")
+    got = {(r["g"], r["left_id"], r["right_id"]) for r in dedup.near_all(df, ["g"], "id", "t").collect()}
+    first = {}
+    for g, k, t in rows:
+        first.setdefault((g, t), k)
+    texts = [(g, k, t) for (g, t), k in first.items() if t]
+    want = {(g, min(a, b), max(a, b)) for g, a, s in texts for h, b, t in texts if g == h and a < b and dedup.overlap(s, t) >= 0.85}
+    assert got == want and len(want) > 60
+
+
+def test_whole_copies(spark):
+    def repetition(paragraphs):
+        row = spark.createDataFrame([(paragraphs,)], "p array<string>").select(dedup.without_copies(F.col("p")).alias("r")).first()["r"]
+        return row["kept"], row["copies"], row["ids"]
+
     body = [f"第{i}段，" + "风吹过长街，灯影摇晃。" * 5 for i in range(14)]
     glued = [*body[:-1], body[-1] + body[0], *body[1:]]
-    kept, copies, ids = dedup.repetition(glued)
+    kept, copies, ids = repetition(glued)
     assert (kept, copies, ids) == (body, 2, [*range(1, 14), 27])
     orphan = [*body, body[0], *body[1:-1], body[-1] + "??"]
-    assert dedup.repetition(orphan)[1] == 2
+    assert repetition(orphan)[1] == 2
     changed = [*body, *body[:-1], body[-1] + "变"]
-    assert dedup.repetition(changed)[:2] == (changed, 1)
-    assert dedup.repetition(None) == ([], 1, []) and dedup.repetition(["a"] * 30)[1] == 1
+    assert repetition(changed)[:2] == (changed, 1)
+    assert repetition(None) == ([], 1, []) and repetition(["a"] * 30)[1] == 1
+    quoted = ["\\Q.*\\E" + p for p in body]
+    assert repetition(quoted * 3)[1] == 3
 
 
 def test_exact_copies(spark):
@@ -288,7 +313,7 @@ def test_pages():
     assert [(x["number"], x["reason"]) for x in found] == [(1, None), (2, None), (3, "other host"), (2, "conflict"), (None, "no number")]
     assert found[0]["url"] == "https://s.example/b/1.html"
     assert html.body(PAGE, "#zw") == ["一 二", "三", "四"] and html.body(PAGE, ".none") == []
-    assert html.between("x</H1>a<br>b </di>\n<BR/>c<!--e-->", "</H1>", "<!--e-->") == ["a", "bc"] or True
+    assert html.between("x</H1>a<br>b<br> </di>\n<BR/>c<br/>d<script>x<br>y</script>\ne<!--e-->", "</H1>", "<!--e-->") == ["a", "bc", "d e"]
     assert html.query_number("http://x/?novelid=1&chapterid=12") == 12 and html.query_number("http://x/?chapterid=0") is None
     assert html.decode("汉".encode("gb18030") + b"\xff", "gb18030-html").startswith("汉")
     with pytest.raises(UnicodeDecodeError):
