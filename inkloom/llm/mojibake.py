@@ -21,49 +21,38 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.chapters import table
 
-#: Pairs of true and wrong encodings, outermost misreading last (fixed values).
-PAIRS = (
-    ("utf-8", "latin-1"),
-    ("utf-8", "cp1252"),
-    ("utf-8", "cp1251"),
-    ("utf-8", "cp1250"),
-    ("utf-8", "cp1258"),
-    ("utf-8", "koi8-r"),
-    ("utf-8", "cp866"),
-    ("utf-8", "cp437"),
-    ("utf-8", "mac-roman"),
-    ("utf-8", "gb18030"),
-    ("utf-8", "cp950"),
-    ("utf-8", "cp932"),
-    ("utf-8", "cp949"),
-    ("gb18030", "latin-1"),
-    ("gb18030", "cp1252"),
-    ("gb18030", "cp1251"),
-    ("gb18030", "koi8-r"),
-    ("gb18030", "mac-roman"),
-    ("gb18030", "utf-8"),
-    ("gb18030", "cp950"),
-    ("gb18030", "cp932"),
-    ("gb18030", "cp949"),
-    ("cp950", "gb18030"),
-    ("cp950", "latin-1"),
-    ("cp950", "cp1252"),
-    ("utf-8", "latin-1", "utf-8", "latin-1"),
-    ("utf-8", "cp1252", "utf-8", "cp1252"),
-    ("utf-8", "utf-8-lost", "gb18030"),
-    ("utf-8", "utf-8-lost", "latin-1"),
-    ("utf-8", "utf-8-lost", "cp1252"),
-    ("lost",),
-)
-
-#: Log-probabilities of entering and of leaving a garbled state, and the floor of emissions.
-ENTER, LEAVE, FLOOR = math.log(1e-5), math.log(1e-2), 1e-7
+#: Encodings of the texts, and those that texts are misread with: of single bytes, and those whose misreading of a character
+#: depends on its neighbours. Every pair of them is a state (fixed values).
+TRUE = ("utf-8", "gb18030", "cp950")
+SINGLE = (
+    "latin-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-7 iso8859-9 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 "
+    "cp1250 cp1251 cp1252 cp1253 cp1254 cp1257 cp1258 cp437 cp850 cp852 cp855 cp858 cp866 cp874 "
+    "koi8-r koi8-u mac-roman mac-cyrillic mac-greek mac-latin2 mac-turkish"
+).split()
+DOUBLE = ("utf-8", "gb18030", "cp950", "cp932", "cp949", "euc_jp")
+#: The encoding of which letters can be second bytes.
+LETTERED = "cp950"
+#: Encodings that texts are misread with twice over, and that show what a misreading to replacement marks left (fixed values).
+TWICE, SHOWN = ("latin-1", "cp1252"), ("gb18030", "latin-1", "cp1252")
+
+
+def pairs() -> tuple[tuple[str, ...], ...]:
+    """States of garbled text: encodings by turns true and wrong, the last misreading last."""
+    once = [(true, wrong) for true in TRUE for wrong in (*SINGLE, *DOUBLE) if true != wrong]
+    twice = [("utf-8", wrong) * 2 for wrong in TWICE]
+    return (*once, *twice, *(("utf-8", "utf-8-lost", wrong) for wrong in SHOWN), ("lost",))
+
+
+PAIRS = pairs()
+
+#: What is taken for known before the sample is read: one misread span in so many characters, of so many characters; and the floor of emissions.
+ENTERED, LENGTH, FLOOR = 100_000, 100, 1e-7
+#: States that are tried for a span whose bytes its likeliest state can't have given.
+TRIED = 16
 #: Log-odds of a sign of a block that a pair never gives.
 UNSEEN = math.log(FLOOR) + 9.0
-#: The model is fitted on this many texts, drawn by hash.
-SAMPLE = 3000
-#: Encodings whose misreading of a character depends on its neighbours.
-DOUBLE = ("utf-8", "gb18030", "cp950", "cp932", "cp949")
+#: Bounds of the model: texts that it is fitted on, drawn by hash, and their longest.
+SAMPLE, SAMPLE_TEXT = 3000, 60_000
 #: Signs that no sample holds are smoothed over blocks of this many code points.
 BLOCK = 256
 #: A character is suspect from this log-odds of a garbled state over the clean one.
@@ -150,47 +139,64 @@ class Labels:
     rest: np.ndarray
     suspects: re.Pattern | None = field(default=None)
     usual: dict[str, float] = field(default_factory=dict)
+    #: Log-probabilities of entering and of leaving a garbled state.
+    enter: float = -math.log(ENTERED)
+    leave: float = -math.log(LENGTH)
 
     def clean(self, text: str) -> float:
         """Mean log-probability in clean text of the characters that aren't ASCII; lost ones don't count."""
         kept = [self.usual.get(c, -14.0) for c in text if c != LOST and not c.isascii() and not c.isspace()]
         return sum(kept) / len(kept) if kept else -14.0
 
-    def inverse(self, span: str, state: int) -> tuple[int, str, bool] | None:
-        """The state whose inverse gives the likeliest text, that text, and whether nothing was lost.
+    def likelier(self, text: str, span: str) -> bool:
+        """Whether a span was the text: as clean text that is likelier sign by sign, and as a whole even with what a misread span costs."""
 
-        None if no inverse is likelier than the span itself: then it was clean.
-        Spans of which the misreading kept nothing have no such check.
+        def whole(x: str) -> float:
+            return sum(self.usual.get(c, -14.0) for c in x if c != LOST and not c.isascii() and not c.isspace())
+
+        return self.clean(text) > self.clean(span) + 1 and whole(text) + self.enter + self.leave > whole(span)
+
+    def inverse(self, span: str, states: list[int]) -> tuple[str, bool] | None:
+        """A span's text by its state's inverse, and whether nothing was lost.
+
+        ``states`` are the span's states, likeliest first; the first whose
+        inverse is whole is the one that gave it, as the labels of single
+        characters don't know which bytes make a character. None if the
+        inverse isn't likelier than the span itself: then it was clean. Spans
+        of which the misreading kept nothing have no such check.
         """
         if sum(c.isascii() and c.isalpha() for c in span) > FOREIGN * len(span):
-            return None
-        if "lost" in PAIRS[state] or "utf-8-lost" in PAIRS[state] or PAIRS[state][-1] == "utf-8":
-            return state, *restore(span, PAIRS[state])
-        text, whole = restore(span, PAIRS[state])
-        if whole and self.clean(text) > self.clean(span) + 1:
-            return state, text, True
-        best = max(
-            ((self.clean(text), whole, -(k != state), k, text) for k in range(len(PAIRS)) for text, whole in [restore(span, PAIRS[k])] if k == state or whole),
-        )
-        return (best[3], best[4], best[1]) if best[0] > self.clean(span) + 1 else None
-
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Garbled spans ``(start, end, state)`` of the best path (Viterbi)."""
+            # Letters can be second bytes of one encoding only; else these are words of a Latin language.
+            states = [k for k in states if PAIRS[k][0] == LETTERED]
+            if not states:
+                return None
+        first = PAIRS[states[0]]
+        if "lost" in first or "utf-8-lost" in first or first[-1] == "utf-8":
+            return restore(span, first)
+        for state in states:
+            text, whole = restore(span, PAIRS[state])
+            if whole and self.likelier(text, span):
+                return text, True
+        text, whole = restore(span, first)
+        return (text, whole) if self.likelier(text, span) else None
+
+    def spans(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """Garbled spans ``(start, end, states)`` of the best path (Viterbi): its state, then others by how well they give the span."""
         n, states = len(text), len(PAIRS)
-        emit = np.array([self.odds.get(c, self.rest) for c in text])
+        emit = np.array([self.odds.get(c, self.rest) for c in text], dtype=float)
         clean, garbled = 0.0, np.full(states, -np.inf)
         entered = np.zeros((n, states), dtype=bool)
         came = np.full(n, -1)
         for i in range(n):
             top = int(garbled.argmax())
-            out = garbled[top] + LEAVE
-            enter = clean + ENTER
+            out = garbled[top] + self.leave
+            enter = clean + self.enter
             entered[i] = enter > garbled
             garbled = np.maximum(garbled, enter) + emit[i]
             if out > clean:
                 clean, came[i] = out, top
         top = int(garbled.argmax())
-        state = top if garbled[top] + LEAVE > clean else -1
+        state = top if garbled[top] + self.leave > clean else -1
         found, end = [], n
         for i in range(n - 1, -1, -1):
             if state >= 0:
@@ -202,9 +208,9 @@ class Labels:
                 state, end = int(came[i]), i
         if state >= 0:
             found.append((0, end, state))
-        return found[::-1]
+        return [(a, b, [k, *(x for x in np.argsort(-emit[a:b].sum(axis=0), kind="stable")[:TRIED].tolist() if x != k)]) for a, b, k in found[::-1]]
 
-    def original(self, text: str, start: int, end: int, state: int) -> tuple[int, int, str, bool] | None:
+    def original(self, text: str, start: int, end: int, states: list[int]) -> tuple[int, int, str, bool] | None:
         """A labelled span, what it was, and whether nothing was lost; None if it was clean.
 
         Signs that clean texts have too count neither way in the labelling, so
@@ -214,16 +220,17 @@ class Labels:
         first = None
         for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2)):
             edge = text[max(0, start - a) : start] + text[end : end + b]
-            if len(edge) < a + b or any(c.isascii() or c == LOST for c in edge):
+            plain = any(c.isascii() for c in edge) and PAIRS[states[0]][0] != LETTERED
+            if len(edge) < a + b or plain or LOST in edge:
                 continue
-            back = self.inverse(text[start - a : end + b], state)
-            if back is not None and back[2]:
-                return start - a, end + b, back[1], True
+            back = self.inverse(text[start - a : end + b], states)
+            if back is not None and back[1]:
+                return start - a, end + b, back[0], True
             if (a, b) == (0, 0):
                 first = back
                 if LOST in text[start:end]:
                     break
-        return None if first is None else (start, end, first[1], False)
+        return None if first is None else (start, end, first[0], False)
 
     def find(self, value: str | None) -> list[tuple[int, int, str, bool]]:
         """Garbled spans over a whole value with what they were and whether nothing was lost.
@@ -236,8 +243,8 @@ class Labels:
         for piece in re.split(r'(?<=")', value):
             if self.suspects.search(piece):
                 text = re.sub(f"(?<!{LOST}){LOST}(?=\\W?$)", CUT, piece)
-                for start, end, state in self.spans(text):
-                    if (span := self.original(piece, start, end, state)) is not None:
+                for start, end, states in self.spans(text):
+                    if (span := self.original(piece, start, end, states)) is not None:
                         found.append((at + span[0], at + span[1], *span[2:]))
             at += len(piece)
         return found
@@ -255,11 +262,18 @@ def repaired(value: str | None, model: Labels) -> tuple[str, bool] | None:
     return "".join(out) + value[at:], all(complete for *_, complete in spans)
 
 
+def counted(text: str) -> Counter:
+    """How often each sign occurs."""
+    points = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    at = np.flatnonzero(points)
+    return Counter(dict(zip(map(chr, at.tolist()), points[at].tolist())))
+
+
 def emitted(lines: list[str], characters: Counter, pair: tuple[str, ...]) -> Counter:
     """What a pair makes of all the lines, or of their characters by count where neighbours don't matter."""
     if pair[-1] in DOUBLE:
         # No misreading gives a line feed of its own or reads over one.
-        found = Counter(misread("\n".join(lines), pair)) if "utf-8-lost" not in pair else Counter(misread("中" * 1000, pair))
+        found = counted(misread("\n".join(lines) if "utf-8-lost" not in pair else "中" * 1000, pair))
         del found["\n"]
         return found
     found = Counter()
@@ -279,66 +293,78 @@ def by_block(counts: Counter) -> dict[int, float]:
 
 
 def learn(texts: list[str]) -> Labels:
-    """Fit the emissions: clean ones by counting, each pair's by misreading the clean texts."""
-    texts = [t for t in texts if t]
+    """Fit the emissions: clean ones by counting, each pair's by misreading the clean texts; then the transitions by labelling them."""
+    given = texts = [t for t in texts if t]
     for round_ in range(2):
-        clean = Counter("".join(texts))
-        total = sum(clean.values()) or 1
-        lines = ["".join(c for c in t if ord(c) > 127 and c != LOST) for t in texts]
-        wide = Counter({c: n for c, n in clean.items() if ord(c) > 127 and c != LOST})
-        counts = [emitted([t for t in lines if t], wide, pair) for pair in PAIRS]
-        states = []
-        for garbled in counts:
-            size = sum(garbled.values()) or 1
-            states.append({c: n / size for c, n in garbled.items()})
-        alphabet = set(clean).union(*states)
-        odds = {}
-        for c in alphabet:
-            p = clean.get(c, 0) / total
-            if c == LOST:
-                p = 0
-            q = np.array([s.get(c, 0.0) for s in states])
-            if c.isascii() or c in NEUTRAL or "！" <= c <= "～":
-                # Left alone by every misreading: neither for nor against, a little against.
-                odds[c] = np.full(len(PAIRS), -0.7)
-                odds[c][-1] = -9.0
-                continue
-            odds[c] = np.log(np.maximum(q, FLOOR)) - math.log(max(p, FLOOR if c != LOST else 1e-12))
-        blocks, usual = [by_block(g) for g in counts], by_block(clean)
-        for block in set().union(*blocks):
-            q = np.array([s.get(block, 0.0) for s in blocks])
-            q = np.log(np.maximum(q, FLOOR)) - math.log(max(usual.get(block, 0.0), FLOOR))
-            # A pair that makes no sign of the block is against it as against any unseen sign.
-            q = np.where([block in s for s in blocks], q, UNSEEN)
-            for c in map(chr, range(block * BLOCK, (block + 1) * BLOCK)):
-                if not (c in odds or c.isascii() or c in NEUTRAL or "！" <= c <= "～" or "\ud800" <= c <= "\udfff"):
-                    odds[c] = q
-        odds[CUT] = np.full(len(PAIRS), -2.0)
-        suspect = sorted(c for c, o in odds.items() if o.max() > SUSPECT and not c.isascii())
-        labels = Labels(
-            odds,
-            np.full(len(PAIRS), UNSEEN),
-            re.compile("[" + "".join(map(re.escape, suspect)) + "]") if suspect else re.compile("(?!)"),
-            {c: math.log(n / total) for c, n in clean.items()},
-        )
+        labels = emissions(texts)
         if round_ == 0:
-            # Without the lines that are garbled themselves, the clean state is clean.
-            texts = [t for t in texts if sum(map(len, labels.suspects.findall(t))) < 0.05 * len(t)]
+            # Without the lines that are garbled themselves, the clean state is clean: a lone suspect sign may be a rare one, three on end aren't.
+            runs = re.compile(labels.suspects.pattern + "{3}")
+            texts = [t for t in texts if not runs.search(t)]
+    # How often spans begin and how long they are, by what the model finds in the whole sample.
+    spans = [(end - start) for t in given for start, end, *_ in labels.find(t)]
+    labels.enter = math.log((len(spans) + 1) / (sum(map(len, given)) - sum(spans) + ENTERED))
+    labels.leave = math.log((len(spans) + 1) / (sum(spans) + LENGTH))
     return labels
 
 
+def emissions(texts: list[str]) -> Labels:
+    clean = counted("".join(texts))
+    total = sum(clean.values()) or 1
+    lines = ["".join(c for c in t if ord(c) > 127 and c != LOST) for t in texts]
+    lines = [t for t in lines if t]
+    wide = Counter({c: n for c, n in clean.items() if ord(c) > 127 and c != LOST})
+    plain = total - sum(wide.values())
+    counts = [emitted(lines, wide, pair) for pair in PAIRS]
+    sizes = np.array([sum(g.values()) or 1 for g in counts])
+    # What every misreading leaves alone is as frequent in garbled text as its share of what comes out, never more than in clean text.
+    alone = np.minimum(np.log(total / (plain + sizes)), 0)
+    alone[PAIRS.index(("lost",))] = math.log(FLOOR) / 2
+    odds = {}
+    alphabet = list(set(clean).union(*counts))
+    row = {c: k for k, c in enumerate(alphabet)}
+    seen = np.zeros((len(alphabet), len(PAIRS)), np.float32)
+    for k, garbled in enumerate(counts):
+        seen[[row[c] for c in garbled], k] = np.fromiter(garbled.values(), float, len(garbled)) / sizes[k]
+    usual_ = np.array([clean.get(c, 0) / total for c in alphabet])
+    ratio = np.log(np.maximum(seen, FLOOR)) - np.log(np.maximum(usual_, FLOOR))[:, None].astype(np.float32)
+    for c, k in row.items():
+        if c.isascii() or c in NEUTRAL or "！" <= c <= "～":
+            odds[c] = alone.astype(np.float32)
+        else:
+            odds[c] = ratio[k] if c != LOST else np.log(np.maximum(seen[k], FLOOR)) - np.float32(math.log(1e-12))
+    blocks, usual = [by_block(g) for g in counts], by_block(clean)
+    for block in set().union(*blocks):
+        q = np.array([s.get(block, 0.0) for s in blocks])
+        q = np.log(np.maximum(q, FLOOR)) - math.log(max(usual.get(block, 0.0), FLOOR))
+        # A pair that makes no sign of the block is against it as against any unseen sign.
+        q = np.where([block in s for s in blocks], q, UNSEEN).astype(np.float32)
+        for c in map(chr, range(block * BLOCK, (block + 1) * BLOCK)):
+            if not (c in odds or c.isascii() or c in NEUTRAL or "！" <= c <= "～" or "\ud800" <= c <= "\udfff"):
+                odds[c] = q
+    odds[CUT] = np.full(len(PAIRS), -2.0, np.float32)
+    suspect = sorted(c for c, o in odds.items() if o.max() > SUSPECT and not c.isascii())
+    return Labels(
+        odds,
+        np.full(len(PAIRS), UNSEEN, np.float32),
+        re.compile("[" + "".join(map(re.escape, suspect)) + "]") if suspect else re.compile("(?!)"),
+        {c: math.log(n / total) for c, n in clean.items()},
+    )
+
+
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chapters").select("book_id", "number", "title", "source")
 
 
 def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Labels:
-    """The model of about ``bound`` sources drawn by hash."""
-    chapters = values(spark, sf_dir).select("title", "source", F.xxhash64("book_id", "number").alias("h"))
-    total = max(chapters.count(), 1)
-    share = min(1.0, bound / total)
-    drawn = chapters.filter(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20))).select("source", "title").limit(2 * bound).collect()
+    """The model of about ``bound`` sources drawn by hash, none of more than `SAMPLE_TEXT` characters; the same rows give the same model."""
+    chapters = values(spark, sf_dir).select("title", "source", F.pmod(F.xxhash64("book_id", "number"), F.lit(1 << 50)).alias("at"))
+    usable = chapters.filter(F.coalesce(F.length("source"), F.lit(0)) + F.coalesce(F.length("title"), F.lit(0)) <= SAMPLE_TEXT)
+    share = min(1.0, bound / max(usable.count(), 1))
+    # Rows of one key are drawn together; the bound holds for these too.
+    rows = usable.filter(F.col("at") < int(share * (1 << 50))).orderBy("at", F.xxhash64("title", "source")).limit(2 * bound).collect()
     lines = []
-    for source, title in drawn:
+    for title, source, _ in rows:
         lines += re.findall(r'"((?:[^"\\]|\\.)*)"', source or "")
         lines.append(title or "")
     return learn(lines)
