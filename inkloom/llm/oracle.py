@@ -48,10 +48,10 @@ select p.book_id, p.number, cast(p.para as bigint) as para from placed p join ke
 def _sign(column: str) -> str:
     source = truncation._FROM.replace("\\\\", "\\").replace("\\t", "\t").replace("'", "''")
     target = truncation._TO
-    return f"translate({column}, '{source}', '{target}')"
+    return f"regexp_replace(translate({column}, '{source}', '{target}'), '0+', '0', 'g')"
 
 
-_CLOSED = "[。！？!?…”’」』）)\\]】》>～~—*＊◇◆★☆※|｜.]$"
+_CLOSED = "[。！？!?…”’」』）)\\]】》>～~—*＊◇◆★☆※|｜.}$@_%›;]$"
 
 P4 = f"""
 with valid as ({VALID.replace("distinct ", "")}),
@@ -65,13 +65,13 @@ pairs as (select right(gram, 2) as gram, sum(mid) as mid, sum(stop) as stop, sum
 marked as (select book_id, number, regexp_matches(line, '[^�]�$') and not contains(left(line, length(line) - 1), '�') as torn,
   regexp_matches(line, '([^.][.][.]+|[^…]…)$') as dotted, not regexp_matches(right(line, 1), '{_CLOSED}') and not contains(line, '�') as unclosed,
   contains(line, '“') and not contains(line, '�') and length(replace(line, '“', '')) < length(replace(line, '”', '')) as unquoted,
-  {_sign("regexp_replace(right(line, 16), '(�|[.][.]+|…)$', '')")} as tail from long),
+  {_sign("regexp_replace(right(line, 64), '(�|[.][.]+|…)$', '')")} as tail from long),
 ends as (select book_id, number, torn, dotted, unclosed, unquoted, right(rtrim(tail, '。'), 3) as gram,
-  length(string_split(tail, ' ')[-1]) > 6 or not contains(tail, ' ') as prose from marked where torn or dotted or unclosed or unquoted),
+  length(string_split(tail, ' ')[-1]) > 6 or not contains(tail, ' ') as prose, rtrim(tail, ' ') as trimmed from marked where torn or dotted or unclosed or unquoted),
 judged as (select e.*, coalesce(coalesce(c.mid + c.stop, 0) >= {truncation.SEEN} or coalesce(c.final, 0) > {truncation.SEEN}, false) as known,
   c.mid as m3, c.stop as s3, c.final as f3, p.mid as m2, p.stop as s2, p.final as f2 from ends e left join counts c on c.gram = e.gram left join pairs p on p.gram = right(e.gram, 2)),
 told as (select *, case when known then m3 else m2 end as mid, case when known then s3 else s2 end as stop, case when known then f3 else f2 end as final from judged)
-select book_id, number from told where prose and regexp_matches(gram, '^[^ ]*[一-鿿，。“]$') and regexp_matches(gram, '[一-鿿]') and not regexp_matches(gram, '[锟斤拷]') and (
+select book_id, number from told where (prose or length(string_split(trimmed, ' ')[-1]) > 6 or not contains(trimmed, ' ')) and regexp_matches(trimmed, '[一-鿿]') and not regexp_matches(gram, '[锟斤拷]') and (
   unquoted or (unclosed or torn) and mid + stop >= {truncation.SEEN} and final - 1 <= {truncation.LAST} * (mid + stop)
   or dotted and mid >= {truncation.SEEN} and stop + final - 1 <= {truncation.LAST} * mid)
 union select book_id, number from chapters where ltrim(source) like '[%' and not json_valid(source)

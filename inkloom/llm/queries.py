@@ -14,7 +14,6 @@ def queries() -> dict:
         "p3_found": mojibake.p3_found,
         "p3_restored": mojibake.p3_restored,
         "p4_found": truncation.p4_found,
-        "p4_found_any": truncation.p4_found_any,
         "p4_sites": truncation.p4_sites,
         "p5_found": bitext.p5_found,
         "p6_found": mainbody.p6_found,

@@ -20,8 +20,8 @@ from inkloom.session import cut
 #: Occurrences from which an n-gram can tell, and the largest share at ends (besides the one at hand) of a cut.
 SEEN, LAST = 20, 0.02
 
-#: Marks that close a sentence or a line, and marks inside sentences (fixed values).
-CLOSED = "[。！？!?…”’」』）)\\\\]】》>～~—*＊◇◆★☆※|｜.]"
+#: Marks that close a sentence or a line, or a template's placeholder (which is no cut; the brace is doubled for formatting), and marks inside sentences (fixed values).
+CLOSED = "[。！？!?…”’」』）)\\\\]】》>～~—*＊◇◆★☆※|｜.}}$@_%›;]"
 INNER = "，、；：！？…“”‘’,;:!?.．"
 #: Other signs, which separate; wide digits count as digits.
 SIGNS = " \t　·•《》〈〉「」『』【】〔〕（）()[]<>»«›‹/|｜~～*＊◇◆★☆※→←—-_=+#&@%©$^`\\"
@@ -49,37 +49,30 @@ select left(gram, 3) as gram, sum(if(right(gram, 1) not in ('。', ' ', '\\u0003
 from {grams} group by left(gram, 3)
 """
 
-#: How each paragraph ends; only its last characters are looked at, besides its quotes.
+#: How each paragraph ends. Only the end and the quotes tell; numbers are folded in the last 64 signs, of which three grams' worth are read.
 ENDS = f"""
 select book_id, number, torn, dotted, unclosed, unquoted, tail from (
   select *, line rlike '[^�]�$' and not left(line, length(line) - 1) like '%�%' as torn,
     line rlike '([^.][.][.]+|[^…]…)$' as dotted,
     not last rlike '{CLOSED}$' and not line like '%�%' as unclosed,
     line like '%“%' and not line like '%�%' and length(replace(line, '“', '')) < length(replace(line, '”', '')) as unquoted,
-    regexp_replace(right(line, 16), '(�|[.][.]+|…)$', '') as tail
+    regexp_replace(right(line, 64), '(�|[.][.]+|…)$', '') as tail
   from (select book_id, number, line, right(line, 1) as last from {{exploded}}))
 where torn or dotted or unclosed or unquoted
 """
 
+#: A cut is judged by the counts of its last gram, whatever sign that ends in, in lines of prose: a stretch of more than six
+#: signs before the end without a separator. An open quotation mark counts whatever the line ends in.
 FLAGS = """
 with ends as (
   select book_id, number, torn, dotted, unclosed, unquoted, right(rtrim('。', tail), 3) as gram,
-    length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %' as prose from {ends}),
+    length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %' as prose, rtrim(' ', tail) as tail from {ends}),
 counts as (select gram, mid, stop, final from {counts}),
 pairs as (select right(gram, 2) as gram, sum(mid) as mid, sum(stop) as stop, sum(final) as final from counts group by right(gram, 2)),
 judged as (
   select e.*, if(coalesce(c.mid + c.stop, 0) >= {seen} or coalesce(c.final, 0) > {seen}, struct(c.mid, c.stop, c.final), struct(p.mid, p.stop, p.final)) as s
   from ends e left join counts c on c.gram = e.gram left join pairs p on p.gram = right(e.gram, 2))
 select distinct book_id, number from judged
-where prose and gram rlike '^[^ ]*[一-鿿，。“]$' and gram rlike '[一-鿿]' and not gram rlike '[锟斤拷]' and (
-  unquoted
-  or (unclosed or torn) and s.mid + s.stop >= {seen} and s.final - 1 <= {last} * (s.mid + s.stop)
-  or dotted and s.mid >= {seen} and s.stop + s.final - 1 <= {last} * s.mid)
-"""
-
-#: As FLAGS, and grams of any signs by their counts, a number being one sign; an open quotation mark counts whatever the line ends in.
-ANY = FLAGS[: FLAGS.index("select distinct")].replace(" as prose from", " as prose, rtrim(' ', tail) as tail from") + """
-select distinct book_id, number from judged
 where (prose or length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %') and tail rlike '[一-鿿]' and not gram rlike '[锟斤拷]' and (
   unquoted
   or (unclosed or torn) and s.mid + s.stop >= {seen} and s.final - 1 <= {last} * (s.mid + s.stop)
@@ -87,7 +80,7 @@ where (prose or length(substring_index(tail, ' ', -1)) > 6 or not tail like '% %
 """
 
 
-def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST, flags: str = FLAGS) -> DataFrame:
+def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST) -> DataFrame:
     """``book_id, number`` of pages (``book_id, number, lines``) with a paragraph that breaks off.
 
     Null and empty lines and lines of one or two characters don't break off.
@@ -97,31 +90,27 @@ def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST, flags: str
     exploded = pages.select("book_id", "number", F.explode("lines").alias("line")).withColumn("line", F.rtrim("line"))
     clean = exploded.filter("length(line) > 2 and not line like '%�%'")
     # What follows a number, not a digit, tells whether a text goes on behind it.
-    folded = (lambda text: F.regexp_replace(signs(text), "0+", "0")) if flags == ANY else signs
+    def folded(text):
+        return F.regexp_replace(signs(text), "0+", "0")
+
     grams = spark.sql(GRAMS, lines=clean.select(folded(F.regexp_replace("line", "([.][.]+|…)$", "")).alias("text")))
     counts = cut(spark.sql(COUNTS, grams=grams))
     ends = spark.sql(ENDS, exploded=exploded.filter("length(line) > 2")).withColumn("tail", folded(F.col("tail")))
-    return spark.sql(flags.replace("{seen}", str(seen)).replace("{last}", str(last)), ends=ends, counts=counts)
+    return spark.sql(FLAGS.replace("{seen}", str(seen)).replace("{last}", str(last)), ends=ends, counts=counts)
 
 
-def broken_off(spark: SparkSession, sf_dir: str, flags: str) -> DataFrame:
-    """``book_id, number`` of chapters whose JSON breaks off or with a paragraph that ``flags`` finds."""
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence, a number or a word."""
     chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source")
     broken = chapters.filter("ltrim(source) like '[%'").filter(
         ~F.trim("source").endswith("]") | lines_of(F.col("source")).isNull()
     )
     pages = chapters.select("book_id", "number", lines_of(F.col("source")).alias("lines")).filter("lines is not null")
-    return broken.select("book_id", "number").unionByName(cut_ends(pages, flags=flags)).distinct()
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence."""
-    return broken_off(spark, sf_dir, FLAGS)
+    return broken.select("book_id", "number").unionByName(cut_ends(pages)).distinct()
 
 
-def p4_found_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `p4_found`, which asks for a Han sign or a mark at the cut, but for cuts inside numbers and behind letters and signs too."""
-    return broken_off(spark, sf_dir, ANY)
+#: The name of round 1 for the rule that `p4_found` has now.
+p4_found_any = p4_found
 
 
 def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
