@@ -313,7 +313,7 @@ def test_pages():
     assert [(x["number"], x["reason"]) for x in found] == [(1, None), (2, None), (3, "other host"), (2, "conflict"), (None, "no number")]
     assert found[0]["url"] == "https://s.example/b/1.html"
     assert html.body(PAGE, "#zw") == ["一 二", "三", "四"] and html.body(PAGE, ".none") == []
-    assert html.between("x</H1>a<br>b<br> </di>\n<BR/>c<br/>d<script>x<br>y</script>\ne<!--e-->", "</H1>", "<!--e-->") == ["a", "bc", "d e"]
+    assert html.between("x</H1>a<br>b </di>\n<BR/>c<br/>d<script>x<br>y</script>\ne<!--e-->", "</H1>", "<!--e-->") == ["a", "bc", "d e"]
     assert html.query_number("http://x/?novelid=1&chapterid=12") == 12 and html.query_number("http://x/?chapterid=0") is None
     assert html.decode("汉".encode("gb18030") + b"\xff", "gb18030-html").startswith("汉")
     with pytest.raises(UnicodeDecodeError):
@@ -326,9 +326,9 @@ def test_pages():
 
 
 def test_epub_round_trip(spark):
-    chapters = [(n, f"T{n}", [("Một.", False), ("Hai", True)]) for n in range(1, 46)]
-    data = epub.build("b", "Sách & vở", chapters)
-    assert epub.problem(data) is None and data == epub.build("b", "Sách & vở", chapters)
+    book = epub.Book("b", "Sách & vở", [epub.Chapter(n, f"T{n}", [("Một.\x00", False), ("Hai", True)]) for n in range(1, 46)], "A", "http://s/")
+    data = epub.build(book)
+    assert epub.problem(data) is None and data == epub.build(book)
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         assert sum(n.startswith("OEBPS/part-") for n in archive.namelist()) == 3
     assert epub.problem(b"") == "archive"
@@ -343,6 +343,28 @@ def test_epub_round_trip(spark):
     assert [(r["book_id"], r["chapters"], r["problem"]) for r in got] == [("b", 1, None)]
 
 
+def test_books_are_whole_or_say_what_is_missing(spark):
+    edited = '{"title":"x","paragraphs":[{"id":1,"text":"a"}]}'
+    rows = [("w", 1, edited, "edited", None, 2), ("w", 2, None, "missing", "Trang mất", 2), ("w", 2, None, "missing", "Trang mất", 2)]
+    rows += [("g", 1, edited, "edited", None, 3), ("g", 2, "{", "edited", None, 3), ("g", 3, None, "missing", None, 3), ("m", 1, edited, "edited", None, 1), ("m", 4, edited, "edited", None, 1)]
+    rows += [(None, None, edited, None, None, None)]
+    df = spark.createDataFrame([(b, "T", *r) for b, *r in rows], "book_id string, title string, number long, edited string, state string, summary string, expected long")
+    got = {r["book_id"]: (r["chapters"], r["problem"], r["gap"]) for r in epub.books(df).collect()}
+    assert got == {"w": (2, None, None), "g": (1, None, "chapter 2"), "m": (2, None, "chapter 4 of 1")}
+    final = {r["book_id"]: (r["chapters"], r["bytes"] is None) for r in epub.books(df, preview=False).collect()}
+    assert final == {"w": (2, False), "g": (0, True), "m": (0, True)}
+
+
+def test_pages_of_sites():
+    assert html.story(["一", "作者有话要说：", "二"]) == ["一"] and html.story([]) == []
+    assert html.between("<h1>x</H1>成<br></di><br>州。<br>二 &amp;\n三<table>广告</table>", "</H1>", "END") == []
+    assert html.between("<h1>x</H1>成<br></di><br>州。<br>二 &amp;\n三<table>广告</table>END", "</H1>", "END") == ["成州。", "二 & 三"]
+    assert html.between("</H1>成</di><br>州END", "</H1>", "END") == ["成", "州"]
+    assert html.rejected(["甲"], "a", "a", str.strip, "<a href='2'> 下一页</a>") == "pagination"
+    rules = "User-agent: *\nDisallow: /private/\n"
+    assert html.allowed(rules, "x", "http://s/book/1") and not html.allowed(rules, "x", "http://s/private/1") and html.allowed("", "x", "http://s/")
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, t long")
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 1), (3, "d", 1)], "k long, v string, t long")
