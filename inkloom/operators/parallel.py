@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from inkloom.functions.numerals import faithful
 from inkloom.operators.reading import groups, loads, tidy
 from inkloom.session import small
 
-_MARKUP = re.compile(r"[-]|<[^>]*>|```")
+_MARKUP = re.compile("[\ue000-\uf8ff]|<[^>]*>|```")
 _HAN = re.compile("[一-鿿]")
 
 
@@ -79,18 +79,27 @@ def validate(chapters: DataFrame, terms: DataFrame) -> DataFrame:
     return joined.mapInPandas(work, "book_id string, number long, para long, kind string, detail string")
 
 
-def term_mentions(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``book_id, number, pos, start, term`` of longest-match mentions of each book's terms."""
+def term_mentions(chapters: DataFrame, terms: DataFrame, lexicon: Mapping[str, float] | None = None) -> DataFrame:
+    """``book_id, number, pos, start, term`` of longest-match mentions of each book's terms.
+
+    ``chapters`` has ``book_id, number, lines`` (an array of paragraphs, ``pos``
+    from 1): a book's terms travel once a chapter, not once a paragraph. With a
+    lexicon, short matches that only cross two of its words don't count.
+    """
     known = terms.groupBy("book_id").agg(F.collect_set("source").alias("terms"))
+    words = G.Lexicon(lexicon or {})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (book, number, pos, start, term)
-                for book, number, pos, text, listed in zip(*(batch[c] for c in ("book_id", "number", "pos", "t", "terms")))
-                if isinstance(text, str)
-                for start, term in G.mentions(text, listed)
-            ]
+            rows = []
+            for book, number, lines, listed in zip(*(batch[c] for c in ("book_id", "number", "lines", "terms"))):
+                names = frozenset(listed)
+                rows += [
+                    (book, number, pos, start, term)
+                    for pos, text in enumerate(lines if lines is not None else (), 1)
+                    if isinstance(text, str)
+                    for start, term in G.mentions(text, names, words)
+                ]
             yield pd.DataFrame(rows, columns=["book_id", "number", "pos", "start", "term"])
 
-    return paragraphs.join(small(known), "book_id").mapInPandas(work, "book_id string, number long, pos long, start long, term string")
+    return chapters.select("book_id", "number", "lines").join(small(known), "book_id").mapInPandas(work, "book_id string, number long, pos long, start long, term string")

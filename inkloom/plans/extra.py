@@ -7,13 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.functions.numerals import numbers_match
-from inkloom.operators import dedup, parallel, reading
-from inkloom.plans.pairs import paragraphs, query, targets
+from inkloom.functions.glossary import TITLES
+from inkloom.operators import dedup, parallel, reading, results
+from inkloom.plans.pairs import lines_of, paragraphs, query, targets
 from inkloom.session import table
 from inkloom.sources import epub
 from inkloom.streaming import ledger
 
 
+#: Words of a lexicon that is collected from names.
+LEXICON = 50_000
+
+
 @query("x15_whole_copies")
 def x15_whole_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and how many whole copies of themselves they hold."""
@@ -41,12 +46,41 @@ def x19_numeric_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x20_mentions")
 def x20_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parallel.term_mentions(paragraphs(spark, sf_dir), table(spark, sf_dir, "book_terms").select("book_id", "source"))
+    """Names of every book in every paragraph, with offsets."""
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source"), ["book_id", "number"])
+    lines = chapters.select("book_id", "number", lines_of(F.col("source")).alias("lines"))
+    return parallel.term_mentions(lines, table(spark, sf_dir, "book_terms").select("book_id", "source"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source", "edited"), ["book_id", "number"])
+    return chapters, table(spark, sf_dir, "book_terms").filter("kind = 'entity'")
+
+
+@query("v1_results")
+def v1_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the gates find on each edited result, by level."""
+    return results.judged(*_results(spark, sf_dir))
+
+
+@query("v8_targets")
+def v8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names of edited results that wait for a review, with their surroundings."""
+    return results.review_targets(*_results(spark, sf_dir))
+
+
+@query("v11_excluded")
+def v11_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of names that only cross two words; the lexicon is that of all names and of the words for places and titles."""
+    chapters, terms = _results(spark, sf_dir)
+    # Names of one book are words in another; at most so many of the most frequent ones.
+    words = terms.filter(F.length("source") > 1).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(LEXICON).collect()
+    return results.excluded(chapters, terms, {r["source"]: r["n"] for r in words} | {t: 1 for t in (*TITLES, *(a + b for a in "大小老" for b in "城村镇"))})
 
 
 @query("v1_findings")
 def v1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source", "translated").distinct()
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source", "translated"), ["book_id", "number"])
     terms = table(spark, sf_dir, "book_terms").filter("kind = 'entity'")
     return parallel.validate(chapters, terms)
 
@@ -73,10 +107,10 @@ def x33_reader_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k2_books")
 def k2_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every book's file: chapters, size, hash and what verification finds."""
-    titles = table(spark, sf_dir, "books").groupBy(F.col("id").alias("book_id")).agg(F.min("title").alias("title"))
-    edited = table(spark, sf_dir, "chapters").filter("edited is not null").select("book_id", "number", "edited")
-    return epub.books(edited.join(titles, "book_id"))
+    """Every book's file: chapters, size, hash, what verification finds, and why it isn't whole."""
+    facts = table(spark, sf_dir, "books").groupBy(F.col("id").alias("book_id")).agg(F.min("title").alias("title"), F.min("expected").alias("expected"), F.min("source_url").alias("source_url"))
+    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "edited", "state", "summary")
+    return epub.books(chapters.join(facts, "book_id"))
 
 
 @query("a3_daily_ledger", "select day, count(*) as calls, cast(coalesce(sum(reserved), 0) as bigint) as tokens from calls group by day")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
@@ -259,7 +259,7 @@ select book_id, number, pos, length(src) as src_chars, length(dst) as dst_chars
 )
 def j12_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source and translated paragraphs by position."""
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source", "translated").distinct()
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source", "translated"), ["book_id", "number"])
     whole = F.trim("source").startswith("[") & F.trim("source").endswith("]")
     source = F.when(whole, F.from_json("source", "array<string>", {"allowSingleQuotes": "false"}))
     target = F.from_json("translated", "struct<paragraphs:array<struct<id:int,text:string>>>")["paragraphs"]["text"]
@@ -332,11 +332,15 @@ from (select distinct book_id, number, source from chapters where source is not
 """
 
 
+def lines_of(source: Column) -> Column:
+    """Paragraphs of a JSON array of strings; null where the value isn't valid JSON."""
+    whole = F.trim(source).startswith("[") & F.trim(source).endswith("]")
+    return F.when(whole, F.from_json(source, "array<string>", {"allowSingleQuotes": "false"}))
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source").distinct()
-    whole = F.trim("source").startswith("[") & F.trim("source").endswith("]")
-    lines = F.when(whole, F.from_json("source", "array<string>", {"allowSingleQuotes": "false"}))
-    return chapters.select("book_id", "number", F.posexplode(lines).alias("at", "t")).select("book_id", "number", (F.col("at") + 1).cast("long").alias("pos"), "t")
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source"), ["book_id", "number"])
+    return chapters.select("book_id", "number", F.posexplode(lines_of(F.col("source"))).alias("at", "t")).select("book_id", "number", (F.col("at") + 1).cast("long").alias("pos"), "t")
 
 
 @query(
@@ -355,7 +359,7 @@ def w6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w8_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last summary before each chapter."""
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "summary").distinct()
+    chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "summary"), ["book_id", "number"])
     before = Window.partitionBy("book_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return chapters.select("book_id", "number", F.last("summary", ignorenulls=True).over(before).alias("context"))
 
@@ -490,7 +494,7 @@ from (select distinct book_id, number, translated from chapters where translated
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = table(spark, sf_dir, "chapters").filter("translated is not null").select("book_id", "number", "translated").distinct()
+    chapters = dedup.once(table(spark, sf_dir, "chapters").filter("translated is not null").select("book_id", "number", "translated"), ["book_id", "number"])
     texts = F.from_json("translated", "struct<paragraphs:array<struct<id:int,text:string>>>")["paragraphs"]["text"]
     return chapters.select("book_id", "number", F.posexplode(texts).alias("at", "t")).select("book_id", "number", (F.col("at") + 1).cast("long").alias("pos"), "t")
 
