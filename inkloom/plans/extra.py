@@ -26,17 +26,6 @@ def x15_whole_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", dedup.without_copies(F.col("p")).alias("r")).select("doc_id", "r.copies", F.size("r.kept").alias("kept"))
 
 
-@query("x31_tidy_all")
-def x31_tidy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraph layout of every text, whatever its signs: composed forms (NFC), all white space of Unicode."""
-
-    @F.pandas_udf("string")
-    def tidy(values: pd.Series) -> pd.Series:
-        return values.map(reading.tidy)
-
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tidy("text").alias("tidy"))
-
-
 @query("x19_numeric_fidelity")
 def x19_numeric_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the numbers of paragraphs at equal positions agree."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
+from inkloom.functions.numerals import scales
 from inkloom.operators import align as alignment
-from inkloom.operators import dedup
+from inkloom.operators import dedup, reading
 from inkloom.operators.terms import differs, merged
 from inkloom.plans.sql import NOW
 from inkloom.session import small, table
@@ -31,6 +35,29 @@ def query(name: str, sql: str | None = None):
 _WIDE, _NARROW = X.WIDE, X.NARROW.replace("'", "''")
 
 
+def _compatible() -> str:
+    """Signs and their compatibility forms (NFKC), as a table of the checking engine, which knows only NFC."""
+    signs = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    forms = ((c, unicodedata.normalize("NFKC", c)) for c in signs)
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in forms if pair[0] != pair[1])
+    return f"kc(c, d) as (values {rows})"
+
+
+KC = _compatible()
+
+
+def folded_sql(name: str, table_: str, column: str) -> str:
+    """Tables that end in ``name``: those of ``table_`` and ``plain``, the NFKC of a column."""
+    return f"""{name}0 as (select row_number() over () as rid, * from {table_}),
+{name}1 as (select rid, string_agg(coalesce(kc.d, s.c), '' order by s.i) as t from (select rid, i, substr({column}, cast(i as bigint), 1) as c
+  from (select rid, {column}, unnest(generate_series(1, length({column}))) as i from {name}0 where {column} is not null) x) s left join kc on kc.c = s.c group by rid),
+{name} as (select o.*, case when o.{column} is not null then nfc_normalize(coalesce(n.t, '')) end as plain from {name}0 o left join {name}1 n on n.rid = o.rid)"""
+
+
+def plain_key_sql(column: str = "plain") -> str:
+    return f"regexp_replace(lower(regexp_replace({column}, '^.*?第{X.NUMERAL}章\\s*', '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
 def key_sql(column: str) -> str:
     return (
         f"regexp_replace(lower(regexp_replace(translate({column}, '{_WIDE}', '{_NARROW}'), '^.*?第{X.NUMERAL}章\\s*', '')), "
@@ -60,32 +87,34 @@ def x5_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_HAN = "零〇一二两三四五六七八九十百千万"
+
+
 @query(
     "x1_chapter_number",
-    "select book_id, number, url, cast(case when regexp_matches(t, '^[0-9]+$') then cast(t as bigint) end as bigint) as labelled from "
-    f"(select *, regexp_extract(translate(title, '{_WIDE}', '{_NARROW}'), '第({X.NUMERAL})章', 1) as t from chapters) x where t = '' or regexp_matches(t, '^[0-9]+$')",
+    f"""
+with {KC}, {folded_sql("f", "chapters", "title")},
+n as (select book_id, number, url, coalesce(regexp_extract(plain, '第({X.NUMERAL})章', 1), '') as t from f),
+v as (select *, list_reduce(list_prepend({{'total': 0::bigint, 'section': 0::bigint, 'digit': 0::bigint, 'c': ''}}, list_transform(regexp_extract_all(t, '[{_HAN}]'), lambda x: {{'total': 0::bigint, 'section': 0::bigint, 'digit': 0::bigint, 'c': x}})),
+  lambda a, b: case when b.c = '万' then {{'total': a.total + (a.section + a.digit) * 10000, 'section': 0::bigint, 'digit': 0::bigint, 'c': ''}}
+    when strpos('十百千', b.c) > 0 then {{'total': a.total, 'section': a.section + greatest(a.digit, 1) * cast(pow(10, strpos('十百千', b.c)) as bigint), 'digit': 0::bigint, 'c': ''}}
+    else {{'total': a.total, 'section': a.section, 'digit': cast(strpos('一二三四五六七八九', replace(b.c, '两', '二')) as bigint), 'c': ''}} end) as r from n)
+select book_id, number, url, case when regexp_matches(t, '^[0-9]+$') then try_cast(t as bigint) when regexp_matches(t, '^[{_HAN}]+$') then r.total + r.section + r.digit end as labelled from v
+""",
 )
 def x1_chapter_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of labels in ASCII digits; the numerals of the other labels are tested on a fixture."""
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "url", "title")
-    digits = F.regexp_extract(F.translate("title", X.WIDE, X.NARROW), f"第({X.NUMERAL})章", 1)
-    return chapters.filter((digits == "") | digits.rlike("^[0-9]+$")).select("book_id", "number", "url", X.chapter_number(F.col("title"), False).alias("labelled"))
-
+    """Numbers of all labels, in digits and in Han numerals, after NFKC."""
+    return table(spark, sf_dir, "chapters").select("book_id", "number", "url", X.chapter_number(F.col("title")).alias("labelled"))
 
-@query("x1_han_number")
-def x1_han_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of all labels, Han numerals too, after NFKC."""
-    return table(spark, sf_dir, "chapters").select("book_id", "number", "title", X.chapter_number(F.col("title")).alias("labelled"))
 
-
-@query("x7_title_key", f"select book_id, number, {key_sql('title')} as title_key from chapters")
+@query("x7_title_key", f"with {KC}, {folded_sql('f', 'chapters', 'title')} select book_id, number, {plain_key_sql()} as title_key from f")
 def x7_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chapters").select("book_id", "number", X.title_key(F.col("title"), False).alias("title_key"))
+    return table(spark, sf_dir, "chapters").select("book_id", "number", X.title_key(F.col("title")).alias("title_key"))
 
 
-@query("x11_fingerprint", "select doc_id, case when text is not null then sha256(regexp_replace(lower(translate(text, '" + _WIDE + "', '" + _NARROW + "')), '[^\\p{L}\\p{N}]', '', 'g')) end as print from documents")
+@query("x11_fingerprint", f"with {KC}, {folded_sql('f', 'documents', 'text')} select doc_id, case when text is not null then sha256(regexp_replace(lower(plain), '[^\\p{{L}}\\p{{N}}]', '', 'g')) end as print from f")
 def x11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.array("text"), False).alias("print"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.array("text")).alias("print"))
 
 
 @query("a12_sum_over_map", "select model, cast(sum(reserved) as bigint) as reserved, cast(sum(coalesce(usage, 0)) as bigint) as used from calls group by model")
@@ -150,9 +179,10 @@ def j5_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALIGN = f"""
-with can as (select book_id, number as n, min(k) as k from (select book_id, number, {key_sql('title')} as k from chapters where title is not null) c where k <> '' group by book_id, number),
+with {KC}, {folded_sql("fh", "chapters", "title")}, {folded_sql("fc", "source_candidates", "title")},
+can as (select book_id, number as n, min(k) as k from (select book_id, number, {plain_key_sql()} as k from fh where title is not null) c where k <> '' group by book_id, number),
 cand as (select book_id, source_id, k, row_number() over (partition by book_id, source_id order by source_number, id) - 1 as pos
-  from (select distinct book_id, source_id, id, source_number, {key_sql('title')} as k from source_candidates) c where k <> ''),
+  from (select distinct book_id, source_id, id, source_number, {plain_key_sql()} as k from fc) c where k <> ''),
 cu as (select book_id, k, min(n) as n from can group by book_id, k having count(*) = 1),
 su as (select book_id, source_id, k from cand group by book_id, source_id, k having count(*) = 1),
 a as (select c.book_id, c.source_id, c.pos, c.k, case when su.k is not null then cu.n end as n from cand c
@@ -178,7 +208,7 @@ def j8_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every site's catalog of every book against the book's chapters."""
     chapters = table(spark, sf_dir, "chapters").filter("title is not null")
     canonical = (
-        chapters.select("book_id", F.col("number").alias("n"), X.title_key(F.col("title"), False).alias("k"))
+        chapters.select("book_id", F.col("number").alias("n"), X.title_key(F.col("title")).alias("k"))
         .filter("k != ''")
         .groupBy("book_id", "n")
         .agg(F.min("k").alias("k"))
@@ -186,7 +216,7 @@ def j8_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("book_id", "source_id").orderBy("source_number", "id")
     candidate = (
         table(spark, sf_dir, "source_candidates")
-        .select("book_id", "source_id", "id", "source_number", X.title_key(F.col("title"), False).alias("k"))
+        .select("book_id", "source_id", "id", "source_number", X.title_key(F.col("title")).alias("k"))
         .distinct()
         .filter("k != ''")
         .withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
@@ -196,24 +226,31 @@ def j8_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """
-with t as (select book_id, min(number) as id, norm from (select book_id, number, regexp_replace(lower(translate(array_to_string(from_json(source, '["VARCHAR"]'), ''), '{wide}', '{narrow}')), '[^\\p{{L}}\\p{{N}}]', '', 'g') as norm
-  from chapters where source is not null and json_valid(source)) x group by book_id, norm),
+with {kc}, src as (select book_id, number, array_to_string(from_json(source, '["VARCHAR"]'), '') as body from chapters where source is not null and json_valid(source)), {folded},
+t as (select book_id, min(number) as id, norm from (select book_id, number, regexp_replace(lower(plain), '[^\\p{{L}}\\p{{N}}]', '', 'g') as norm from f) x group by book_id, norm),
 g as (select distinct book_id, id, substr(norm, cast(i as bigint), 12) as gram from (select book_id, id, norm, unnest(generate_series(1, length(norm) - 11)) as i from t where length(norm) >= 12) x),
 c as (select book_id, id, count(*) as n from g group by book_id, id),
 p as (select a.book_id, a.id as left_id, b.id as right_id, count(*) as shared from g a join g b on a.book_id = b.book_id and a.gram = b.gram and a.id < b.id group by a.book_id, a.id, b.id)
 select p.book_id, p.left_id, p.right_id, round(p.shared / least(l.n, r.n), 6) as score from p join c l on l.book_id = p.book_id and l.id = p.left_id join c r on r.book_id = p.book_id and r.id = p.right_id
 where p.shared / least(l.n, r.n) >= 0.85
-""".format(wide=_WIDE, narrow=_NARROW)
+""".format(kc=KC, folded=folded_sql("f", "src", "body"))
 
 
 @query("j9_near_duplicates", _NEAR)
 def j9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of a book whose bodies contain one another for the most part."""
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source")
-    whole = F.trim("source").startswith("[") & F.trim("source").endswith("]")
-    lines = F.when(whole, F.from_json("source", "array<string>", {"allowSingleQuotes": "false"}))
-    texts = chapters.withColumn("norm", X.normalized(F.array_join(lines, ""), False)).select("book_id", "number", "norm")
-    return dedup.near(texts, ["book_id"], "number", "norm")
+    return dedup.near(_bodies(spark, sf_dir), ["book_id"], "number", "norm")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", F.array_join(lines_of(F.col("source")), "").alias("body"))
+    return chapters.select("book_id", "number", X.normalized(F.col("body")).alias("norm"))
+
+
+@query("j9_near_all")
+def j9_near_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `j9_near_duplicates`, and short bodies: those that others contain, and those alike by matching blocks."""
+    return dedup.near_all(_bodies(spark, sf_dir), ["book_id"], "number", "norm")
 
 
 @query(
@@ -412,32 +449,44 @@ def o7_first_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e4_map_merge",
-    "select book_id, source, max_by(translation, chapter * 1000 + length(translation)) as translation from book_terms group by book_id, source",
+    "select book_id, source, translation from (select *, row_number() over (partition by book_id, source order by chapter desc nulls last, translation desc nulls last) as r from book_terms) x where r = 1",
 )
 def e4_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book's terms with the later translation of a term winning."""
-    return table(spark, sf_dir, "book_terms").groupBy("book_id", "source").agg(F.max_by("translation", F.col("chapter") * 1000 + F.length("translation")).alias("translation"))
+    """A book's terms with the later translation of a term winning; of two of one chapter the greater."""
+    last = F.max_by("translation", F.struct("chapter", "translation"))
+    return table(spark, sf_dir, "book_terms").groupBy("book_id", "source").agg(last.alias("translation"))
 
 
 @query(
     "x18_literals",
-    _PARAGRAPHS + "select book_id, number, pos, array_to_string(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*'), ' ') as literals, len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*[万亿]')) as scaled from p",
+    _PARAGRAPHS + "select book_id, number, pos, array_to_string(list_transform(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*[万亿]?'), lambda x: case when x like '%万' then '10000' when x like '%亿' then '100000000' else '1' end), ' ') as scales from p",
 )
 def x18_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal numbers of each paragraph and how many have a scale behind them."""
-    literals = F.regexp_extract_all("t", F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), 1)
-    scaled = F.size(F.regexp_extract_all("t", F.lit(r"([0-9]+(?:[.,][0-9]+)*[万亿])"), 1))
-    return paragraphs(spark, sf_dir).select("book_id", "number", "pos", F.array_join(literals, " ").alias("literals"), scaled.cast("long").alias("scaled"))
+    """The scale behind each literal number of each paragraph."""
+
+    @F.pandas_udf("string")
+    def scaled(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(map(str, scales(t))) if isinstance(t, str) else None)
+
+    return paragraphs(spark, sf_dir).select("book_id", "number", "pos", scaled("t").alias("scales"))
+
+
+#: White space of Unicode (fixed values).
+_SPACE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 @query(
     "x31_tidy",
-    "select doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n\\s*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) as tidy from documents where text is not null and regexp_matches(text, '^[\\x{21}-\\x{7e}\\s\\x{4e00}-\\x{9fff}\\x{3001}-\\x{3002}]*$')",
+    f"select doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '\\n{_SPACE}*\\n'), lambda p: trim(regexp_replace(p, '{_SPACE}+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) as tidy from documents where text is not null",
 )
 def x31_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraph layout of texts in plain signs (white space means the same in both engines there)."""
-    documents = table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[\\x{21}-\\x{7e}\\s\\x{4e00}-\\x{9fff}\\x{3001}-\\x{3002}]*$"))
-    return documents.select("doc_id", X.tidy(F.col("text")).alias("tidy"))
+    """Paragraph layout of every text: composed forms (NFC), all white space of Unicode."""
+
+    @F.pandas_udf("string")
+    def tidy(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: reading.tidy(v) if isinstance(v, str) else None)
+
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tidy("text").alias("tidy"))
 
 
 @query(
@@ -555,11 +604,17 @@ def x47_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x48_chapter_text",
-    "select book_id, number, case when state = 'missing' then 'Chương bị thiếu' else json_extract_string(edited, '$.title') end as title from chapters where state in ('missing', 'edited')",
+    "select book_id, number, case when state = 'missing' then 'Chương bị thiếu' else json_extract_string(edited, '$.title') end as title, "
+    "case when state = 'missing' then summary else array_to_string(json_extract_string(edited, '$.paragraphs[*].text'), chr(10)) end as text from chapters where state in ('missing', 'edited')",
 )
 def x48_chapter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What books have of a chapter: its edited title and text, or the note on a missing one."""
     chapters = table(spark, sf_dir, "chapters").filter(F.col("state").isin("missing", "edited"))
-    return chapters.select("book_id", "number", F.when(F.col("state") == "missing", "Chương bị thiếu").otherwise(F.get_json_object("edited", "$.title")).alias("title"))
+    result = F.from_json("edited", "struct<title:string,paragraphs:array<struct<text:string>>>")
+    gone = F.col("state") == "missing"
+    return chapters.select("book_id", "number", "summary", "state", result.alias("r")).select(
+        "book_id", "number", F.when(gone, "Chương bị thiếu").otherwise(F.col("r.title")).alias("title"), F.when(gone, F.col("summary")).otherwise(F.array_join("r.paragraphs.text", "\n")).alias("text")
+    )
 
 
 @query("x14_reference_length", "select doc_id, n_chars, length(text) between n_chars * 0.95 and n_chars * 1.10 as fits from documents where text is not null")

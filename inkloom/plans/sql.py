@@ -39,10 +39,11 @@ SAME = {
     "j1_inner": "select c.id, c.stage, h.state from calls c join chapters h on c.book_id = h.book_id and c.chapter = h.number where c.status = 'failed'",
     "j2_ordered_inner": "select p.book_id, p.number, p.source_id, c.id from source_provenance p join source_candidates c on c.book_id = p.book_id and c.source_id = p.source_id and c.url = p.url where c.state = 'accepted' order by p.book_id, p.number",
     "j3_two_keys": "select t.book_id, t.source, t.translation, h.title from book_terms t join chapters h on h.book_id = t.book_id and h.number = t.chapter",
-    "j4_gaps_first": "select h.book_id, h.number, case when exists (select 1 from source_candidates c join books b on b.id = c.book_id where c.book_id = h.book_id and c.canonical_number = h.number and c.state = 'accepted') then 1 else 0 end as has_primary from chapters h where h.source is null",
+    "j4_gaps_first": "select h.book_id, h.number, case when exists (select 1 from source_candidates c join books b on b.id = c.book_id where c.book_id = h.book_id and c.canonical_number = h.number and c.state = 'accepted') then 1 else 0 end as has_primary from chapters h where h.source is null order by has_primary desc, h.number, h.book_id",
     "j6_dimension": "select c.id, s.name, s.encoding from source_candidates c join sources s on s.id = c.source_id",
-    "j7_as_of_terms": "select h.book_id, h.number, count(distinct t.source) as visible from chapters h join book_terms t on t.book_id = h.book_id and t.chapter <= h.number group by h.book_id, h.number",
-    "j10_exact_copies": "select book_id, number, min(number) over (partition by source_hash, book_id) as first_number, count(*) over (partition by source_hash) as copies from chapters where source_hash is not null",
+    # A term counts from its first chapter on: running sums over the books' chapters and first chapters, no range join.
+    "j7_as_of_terms": "with t as (select book_id, first, count(*) as n from (select book_id, source, min(chapter) as first from book_terms where chapter is not null and source is not null group by book_id, source) x group by book_id, first), h as (select distinct book_id, number from chapters), e as (select book_id, number, 0 as n, 1 as asked from h union all select book_id, first, n, 0 from t), r as (select *, sum(n) over (partition by book_id order by number, asked rows between unbounded preceding and current row) as visible from e) select book_id, number, cast(visible as bigint) as visible from r where asked = 1 and visible > 0",
+    "j10_exact_copies": "with b as (select source_hash, book_id, min(number) as first_number, count(*) as n from chapters where source_hash is not null group by source_hash, book_id), a as (select source_hash, sum(n) as copies from b group by source_hash) select h.book_id, h.number, b.first_number, cast(a.copies as bigint) as copies from chapters h join b on b.source_hash = h.source_hash and b.book_id = h.book_id join a on a.source_hash = h.source_hash",
     "j14_anti": "select c.book_id, c.canonical_number, c.id from source_candidates c where c.canonical_number is not null and not exists (select 1 from chapters h where h.book_id = c.book_id and h.number = c.canonical_number)",
     "j15_latest_call": "select book_id, chapter, stage, id, status from (select *, row_number() over (partition by book_id, chapter, stage order by created desc, id desc, loaded_at desc) as r from calls) x where r = 1",
     # Aggregates.
@@ -75,7 +76,6 @@ SAME = {
     "e5_ordered_dedup": "select book_id, title, min(number) as first_number from chapters group by book_id, title",
     "e6_union_all": "select state, count(*) as n from (select state from chapters union all select state from source_candidates) x group by state",
     # Statement shapes: upserts, replacements and updates as queries.
-    "k1_upsert_ignore": "select book_id, number, title from chapters where number <= 10 union all select c.book_id, c.canonical_number, min(c.title) from source_candidates c where c.canonical_number is not null and c.canonical_number > 10 and not exists (select 1 from chapters h where h.book_id = c.book_id and h.number = c.canonical_number and h.number <= 10) group by c.book_id, c.canonical_number",
     "q8_latest_wins": "select id, status, loaded_at from (select id, status, loaded_at, row_number() over (partition by id order by loaded_at desc, status) as r from calls) x where r = 1",
     "q9_update_by_key": "select h.book_id, h.number, coalesce(u.state, h.state) as state from (select distinct book_id, number, state from chapters) h left join (select p.book_id, p.number, 'crawled' as state from source_provenance p group by p.book_id, p.number) u on u.book_id = h.book_id and u.number = h.number",
     "q10_never_refund": "select id, greatest(reserved, coalesce(usage, 0)) as charged from calls",
@@ -91,8 +91,10 @@ SAME = {
     "q3_ordered_scan": "select book_id, number, state from chapters where state in ('missing', 'source_review') order by book_id, number",
     "q4_full_scan": "select id, name, source_url, encoding, toc_selector, content_selector, title_selector from sources",
     "q5_max_probe": "select book_id, stage, max(id) as last_id, max(created) as last_created from calls group by book_id, stage",
-    "q6_append_ids": "select id, book_id, cast(row_number() over (partition by book_id order by created, id, loaded_at) as bigint) as sequence from calls",
+    # An append: the calls loaded by the last day get ids behind those of all before.
+    "q6_append_ids": "with o as (select id, book_id, created, loaded_at, case when cast(loaded_at as date) = (select max(cast(loaded_at as date)) from calls) then 1 else 0 end as batch from calls) select id, book_id, batch, cast(row_number() over (partition by book_id order by batch, created, id, loaded_at) as bigint) as sequence from o",
     "q7_insert_if_absent": "select book_id, number from source_provenance union all select h.book_id, min(h.number) as number from chapters h where not exists (select 1 from source_provenance p where p.book_id = h.book_id) group by h.book_id",
-    "t2_changed_registration": "select h.book_id, count(*) as chapters from chapters h join books b on b.id = h.book_id where h.number > b.expected group by h.book_id",
+    # A register of yesterday's books, of which every seventh says another count and every eleventh is new: those refused, known and added.
+    "t2_changed_registration": "with b as (select id, min(source_url) as source_url, min(expected) as expected, row_number() over (order by id) as r from books group by id), old as (select id, source_url, case when r % 7 = 0 then expected + 1 else expected end as expected from b where r % 11 <> 0) select b.id, case when o.id is null then 'added' when o.source_url <> b.source_url or o.expected <> b.expected then 'refused' else 'known' end as outcome from b left join old o on o.id = b.id",
     "g14_frozen_prints": "select p.book_id, p.number, p.fingerprint = h.source_hash as intact from source_provenance p join (select distinct book_id, number, source_hash from chapters) h on h.book_id = p.book_id and h.number = p.number",
 }

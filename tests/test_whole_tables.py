@@ -24,7 +24,7 @@ def test_tidy_has_every_text(spark, tables):
         return "\n\n".join(re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n\s*\n", text) if p.strip())
 
     folder = tables(documents=[{"doc_id": k, "text": t} for k, t in enumerate(texts)])
-    found = {r["doc_id"]: r["tidy"] for r in registry.queries()["x31_tidy_all"](spark, folder).collect()}
+    found = {r["doc_id"]: r["tidy"] for r in registry.queries()["x31_tidy"](spark, folder).collect()}
     assert found == {k: brute(t) for k, t in enumerate(texts) if t is not None}
 
 
