@@ -146,7 +146,7 @@ def token_sizes(documents: DataFrame, tokenizers: list[str], folder: str = TOKEN
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"].tolist()]
-            yield pd.DataFrame({"item": batch["item"]} | {name: counts(name, e, d, texts) for name, e, d in tools})
+            yield pd.DataFrame({"item": batch["item"]} | {name: counts(*tool, texts) for name, *tool in tools})
 
     schema = ", ".join(["item long", *(f"`{name}` long" for name in tokenizers)])
     return documents.select(F.col("doc_id").alias("item"), "text").mapInPandas(measure, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -22,33 +23,34 @@ _loaded: dict[str, object] = {}
 
 
 def vocabulary(spark: SparkSession, name: str, folder: str = TOKENIZERS):
-    """The vocabulary file's bytes, broadcast; their size is fixed by the file and checked."""
+    """The vocabulary file's ending, its bytes, broadcast, and a key of them; their size is fixed by the file and checked."""
     for ending in (".tiktoken", ".model"):
         path = os.path.join(folder, name + ending)
         if os.path.exists(path):
             if os.path.getsize(path) > VOCABULARY_LIMIT:
                 raise ValueError(f"{path} is larger than {VOCABULARY_LIMIT} bytes")
             with open(path, "rb") as file:
-                return ending, spark.sparkContext.broadcast(file.read())
+                content = file.read()
+            return ending, spark.sparkContext.broadcast(content), hashlib.blake2b(content, digest_size=16).hexdigest() + ending
     raise ValueError(f"no rank file or model named {name} in {folder}")
 
 
-def encoder(name: str, ending: str, data):
-    """The worker's encoder, built once per Python process."""
-    if name not in _loaded:
+def encoder(ending: str, data, key: str):
+    """The worker's encoder of these bytes, built once per Python process."""
+    if key not in _loaded:
         if ending == ".tiktoken":
             from inkloom.llm.bpe import ByteBpe
 
-            _loaded[name] = ByteBpe(data.value)
+            _loaded[key] = ByteBpe(data.value)
         else:
             import sentencepiece
 
-            _loaded[name] = sentencepiece.SentencePieceProcessor(model_proto=data.value)
-    return _loaded[name]
+            _loaded[key] = sentencepiece.SentencePieceProcessor(model_proto=data.value)
+    return _loaded[key]
 
 
-def counts(name: str, ending: str, data, texts: list[str | None]) -> list[int]:
-    tool = encoder(name, ending, data)
+def counts(ending: str, data, key: str, texts: list[str | None]) -> list[int]:
+    tool = encoder(ending, data, key)
     if ending == ".tiktoken":
         return tool.count(texts)
     return [len(x) for x in tool.encode([t or "" for t in texts], num_threads=1)]
@@ -61,13 +63,13 @@ def encode(spark: SparkSession, text: Column, name: str = "byte_bpe_50k", folder
     empty texts give an empty array; any length is encoded whole, equal texts
     give equal ids.
     """
-    ending, data = vocabulary(spark, name, folder)
+    ending, data, key = vocabulary(spark, name, folder)
     if ending != ".tiktoken":
         raise ValueError(f"{name} is no rank file")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tool = encoder(name, ending, data)
+        tool = encoder(ending, data, key)
         for texts in batches:
             yield pd.Series(tool.encode(texts.tolist()), dtype=object)
 
