@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="inkloom-ck-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -71,7 +74,6 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it anywhere."""
-    import shutil
     from pathlib import Path
 
     application = spark.sparkContext.applicationId
@@ -79,6 +81,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     folder = Path(tempfile.mkdtemp(prefix="inkloom-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     copy = folder / "tree" / package.name
     shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", copy.parent))
