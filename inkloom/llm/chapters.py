@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.session import small
+from inkloom.session import small, spread
 
 #: Full-width ASCII and the ideographic space with their narrow forms.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -95,7 +95,7 @@ def line_keys(spark: SparkSession, sf_dir: str, styles: bool = False) -> DataFra
     delivered twice may occur twice. Lines without letters have the key of ''.
     """
     books = table(spark, sf_dir, "books").groupBy("id").agg(F.min("title").alias("book_title"))
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "title", "source")
+    chapters = spread(table(spark, sf_dir, "chapters").select("book_id", "number", "title", "source"))
     named = chapters.join(small(books), chapters["book_id"] == books["id"], "left").select(
         "book_id",
         "number",

@@ -24,8 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.tokens import spread
-from inkloom.session import cut, small
+from inkloom.session import cut, small, spread
 
 #: Bounds of the model: labelled documents that it is fitted on, drawn by hash and evenly over languages; characters of them
 #: all; and of one text, which gives whole lines up to that.

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.chapters import table
+from inkloom.session import spread
 
 #: Encodings of the texts, and those that texts are misread with: of single bytes, and those whose misreading of a character
 #: depends on its neighbours. Every pair of them is a state (fixed values).
@@ -394,9 +395,9 @@ def find(chapters: DataFrame, model: Labels) -> DataFrame:
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number, field, restored, whole`` of every garbled value, once."""
-    return find(values(spark, sf_dir), fitted(spark, sf_dir)).distinct()
+    return find(spread(values(spark, sf_dir)), fitted(spark, sf_dir)).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number, field`` of every value garbled in whole or in part."""
-    return find(values(spark, sf_dir), fitted(spark, sf_dir)).select("book_id", "number", "field").distinct()
+    return find(spread(values(spark, sf_dir)), fitted(spark, sf_dir)).select("book_id", "number", "field").distinct()

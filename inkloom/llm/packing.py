@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm.tokens import TOKENIZERS, counts, spread, vocabulary
-from inkloom.session import cut
+from inkloom.llm.tokens import TOKENIZERS, counts, vocabulary
+from inkloom.session import cut, spread
 
 #: Open containers per partition and kind.
 WINDOWS = 256

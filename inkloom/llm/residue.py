@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.chapters import NARROW, NUMERAL, WIDE, lines_of, table
-from inkloom.session import cut, few
+from inkloom.session import cut, few, spread
 
 #: A message must occur in this many books.
 RECUR = 2
@@ -333,4 +333,4 @@ def find(chapters: DataFrame, recur: int = RECUR) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number`` of every chapter with residue in at least one paragraph."""
-    return find(table(spark, sf_dir, "chapters").select("book_id", "number", "source")).distinct()
+    return find(spread(table(spark, sf_dir, "chapters").select("book_id", "number", "source"))).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkloom.session import plan_bytes
+from inkloom.session import spread
 
 #: Folder of the public vocabulary files; override by parameter or environment.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -76,18 +76,6 @@ def encode(spark: SparkSession, text: Column, name: str = "byte_bpe_50k", folder
     return ids(text)
 
 
-def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
-    """Split a scan that has fewer tasks than cores: text work is CPU-bound, not I/O-bound.
-
-    Only scans of few, large row groups are repartitioned, by rows and evenly;
-    where the scan already has enough splits nothing is shuffled.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) < least or df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, ids`` of every document by byte_bpe_50k."""
     documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

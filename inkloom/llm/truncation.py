@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.chapters import chapter_sites, lines_of, table
-from inkloom.session import cut
+from inkloom.session import cut, spread
 
 #: Occurrences from which an n-gram can tell, and the largest share at ends (besides the one at hand) of a cut.
 SEEN, LAST = 20, 0.02
@@ -101,7 +101,7 @@ def cut_ends(pages: DataFrame, seen: int = SEEN, last: float = LAST) -> DataFram
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``book_id, number`` of every chapter that breaks off: its JSON, or a paragraph inside a sentence, a number or a word."""
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", "source")
+    chapters = spread(table(spark, sf_dir, "chapters").select("book_id", "number", "source"))
     broken = chapters.filter("ltrim(source) like '[%'").filter(
         ~F.trim("source").endswith("]") | lines_of(F.col("source")).isNull()
     )
