@@ -14,7 +14,7 @@ from inkloom.operators import align as alignment
 from inkloom.operators import dedup, reading
 from inkloom.operators.terms import differs, merged
 from inkloom.plans.sql import NOW
-from inkloom.session import small, table
+from inkloom.session import small, spread, table
 from inkloom.sources.files import insert_ignore
 
 QUERIES: dict = {}
@@ -243,7 +243,7 @@ def j9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", F.array_join(lines_of(F.col("source")), "").alias("body"))
+    chapters = spread(table(spark, sf_dir, "chapters").select("book_id", "number", "source")).select("book_id", "number", F.array_join(lines_of(F.col("source")), "").alias("body"))
     return chapters.select("book_id", "number", X.normalized(F.col("body")).alias("norm"))
 
 

@@ -65,6 +65,22 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Scans of more bytes than these have enough splits of their own; of fewer, the work isn't worth a split.
+SPLIT, LEAST = 32 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan evenly over the cores: text work is CPU-bound, and one file's few row groups would leave cores idle.
+
+    Only scans of fewer files than cores and of less than `SPLIT` bytes a core
+    are repartitioned; larger ones have splits enough and nothing is shuffled.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if not LEAST <= plan_bytes(df) <= want * SPLIT or len(df.inputFiles()) >= want:
+        return df
+    return df.repartition(want)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
