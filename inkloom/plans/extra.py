@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkloom.functions.numerals import numbers_match
 from inkloom.functions.glossary import TITLES
 from inkloom.operators import dedup, parallel, reading, results
-from inkloom.plans.pairs import lines_of, paragraphs, query, targets
+from inkloom.plans.pairs import SPACE, lines_of, paragraphs, query, targets
 from inkloom.session import table
 from inkloom.sources import epub
 from inkloom.streaming import ledger
@@ -74,7 +74,21 @@ def v1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parallel.validate(chapters, terms)
 
 
-@query("x33_reader_paragraphs")
+@query(
+    "x33_reader_paragraphs",
+    f"""
+with r as (select row_number() over () as rid, book_id, number, edited from chapters where edited is not null and json_valid(edited)),
+p as (select rid, book_id, number, edited, unnest(generate_series(0, json_array_length(edited, '$.paragraphs') - 1)) as i from r),
+t as (select rid, book_id, number, i, coalesce(json_extract_string(edited, '$.paragraphs[' || i || '].join_previous') = 'true', false) as joined,
+  regexp_replace(nfc_normalize(coalesce(json_extract_string(edited, '$.paragraphs[' || i || '].text'), '')), '\\r\\n?', chr(10), 'g') as text from p),
+b as (select *, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n{SPACE}*\\n'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) as tidy from t),
+u as (select *, string_split(regexp_replace(tidy, '([.!?…]”)\\s*“', '\\1' || chr(10) || chr(10) || '“', 'g'), chr(10) || chr(10)) as pieces from b),
+e as (select rid, book_id, number, i, joined, unnest(pieces) as piece, unnest(generate_series(0, len(pieces) - 1)) as k from u),
+g as (select *, sum(case when joined and k = 0 then 0 else 1 end) over (partition by rid order by i, k) as run from e where piece <> ''),
+h as (select rid, book_id, number, run, string_agg(piece, ' ' order by i, k) as text from g group by all)
+select book_id, number, cast(row_number() over (partition by rid order by run) - 1 as integer) as pos, text from h
+""",
+)
 def x33_reader_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of each edited chapter as a reader sees them."""
 

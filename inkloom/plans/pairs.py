@@ -472,12 +472,12 @@ def x18_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: White space of Unicode (fixed values).
-_SPACE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+SPACE = "[\\t-\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 @query(
     "x31_tidy",
-    f"select doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '\\n{_SPACE}*\\n'), lambda p: trim(regexp_replace(p, '{_SPACE}+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) as tidy from documents where text is not null",
+    f"select doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '\\n{SPACE}*\\n'), lambda p: trim(regexp_replace(p, '{SPACE}+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) as tidy from documents where text is not null",
 )
 def x31_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph layout of every text: composed forms (NFC), all white space of Unicode."""
