@@ -231,7 +231,11 @@ class Labels:
                 first = back
                 if LOST in text[start:end]:
                     break
-        return None if first is None else (start, end, first[0], False)
+        if first is None:
+            # Where no other state gave the span, replacement marks in it, but for one at a cut, are lost signs.
+            marks = [k for k in range(start, end) if text[k] == LOST and not re.fullmatch(r"\W?", text[k + 1 :])]
+            return (marks[0], marks[-1] + 1, text[marks[0] : marks[-1] + 1], False) if marks else None
+        return start, end, first[0], False
 
     def find(self, value: str | None) -> list[tuple[int, int, str, bool]]:
         """Garbled spans over a whole value with what they were and whether nothing was lost.

@@ -118,17 +118,17 @@ PHRASES = {
         r"(?:加载|载入|读取|获取|手打|跳转|转码)(?:中|\W*\d+ ?%)|正在(?:为您)?(?:加载|载入|读取|获取|手打|跳转|转码)",
     ),
     "action": (
-        r"^\W*(?:请?(?:联系|咨询)(?:管理员|客服|站长|值班人员)|(?:点击)?重新(?:载入|加载|尝试)|(?:点击)?重试|(?:点击)?刷新(?:页面|重试)?|返回(?:首页|上页)|\w{1,4}秒后(?:自动)?跳转|如何开启\W*点此查看|back|go back|retry|reload|refresh|try again)\W*$",
+        r"^\W*(?:请?(?:联系|咨询)(?:管理|值班|技术|客服)?(?:人员|员|客服|站长)|(?:点击)?重新(?:载入|加载|尝试)|(?:点击)?重试|(?:点击)?刷新(?:页面|重试)?|返回(?:首页|上页)|\w{1,4}秒后(?:自动)?跳转|back|go back|retry|reload|refresh|try again)\W*$",
     ),
     "filler": (
-        r"\blorem\b|\bipsum\b|\bplaceholder\b|\b(?:sample|dummy|example|filler) (?:text|content|title)\b|\b(?:insert|enter|add|type|your)\b(?: your)?(?: \w+)? (?:here|goes here)\b|^\W*(?:todo|tbd|fixme)\b|\btest \d+ test\b",
-        r"占位|(?:示例|样例|测试|范例)(?:段落|文字|文本|内容|数据|测试)|(?:填写|输入|插入|替换为|补充?)T(?:章节|实际|正文|标题|文字|文本|内容)|仅供排版|待补|待填|甲乙丙丁戊|暂无(?:内容|数据|正文|简介)|正文正文",
+        r"\blorem\b|\bipsum\b|\bplaceholder\b|\b(?:sample|dummy|example|filler) (?:text|content|title)\b|\b(?:insert|enter|add|type|your)\b(?: your)?(?: \w+)? (?:here|goes here)\b|^\W*(?:todo|tbd|fixme)\b|^\W*test(?:ing)?(?:\W+(?:test(?:ing)?|\d+))+\W*$",
+        r"占位|(?:示例|样例|测试|范例)(?:段落|文字|文本|内容|数据|测试)|(?:填写|输入|插入|替换为|补充?)T(?:章节|实际|正文|标题|文字|文本|内容)|仅供(?:排版|测试|演示|展示|预览)|待补|待填|甲乙丙丁戊|暂无(?:内容|数据|正文|简介)|正文正文",
     ),
 }
 
 #: What else such messages are made of; it explains letters and tells nothing by itself (fixed values).
 COURTESY = (
-    r"请?(?:您|你)?(?:稍后|稍候|稍等|片刻|重新|再次|重|再|返回|点击|刷新|更换|联系|等待|检查|尝试|休息|歇|登录|加载|打开|进入|访问|查看|继续|操作|回来|来|试|次)+(?:一下|一会儿?|一次|此页|本页|首页|页面|网络|浏览器|线路|管理员|值班人员|客服|再|后)*",
+    r"请?(?:您|你)?(?:稍后|稍候|稍等|片刻|重新|再次|重|再|返回|点击|刷新|更换|联系|等待|检查|尝试|休息|歇|登录|加载|打开|进入|访问|查看|继续|操作|回来|来|试|次)+(?:一下|一会儿?|一次|此页|本页|首页|页面|网络|浏览器|线路|管理员|人员|客服|再|后)*",
     r"页面?|网页|网址|地址|链接|章节|内容|正文|资源|文件|数据|浏览器|阅读器|版本|服务器?|系统|网站|网络|脚本|javascript",
     r"对不起|抱歉|很遗憾|您的?|你的?|当前|本页|此页|该页|本章|该|已经?|或者?|被|后才能|预计\S{0,4}恢复|设置里?|功能|请在?|检测到|显示|的|了",
     r"(?:sorry|oops|whoops|please|try|again|later|retry|reload|refresh|back|check|contact|the|page|we|our|your?|to|continue|and|or|in|soon|moment|log|sign|this)\b",

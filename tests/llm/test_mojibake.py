@@ -41,6 +41,14 @@ def test_lines_of_any_pair_are_found(story, pair):
         assert back >= 0.8 * len(lines), back
 
 
+def test_lost_signs_among_rare_ones(story):
+    model, _ = story
+    for title in ("第二章 送��满城灯（下）", "第150�� 送信灯下客", "��信"):
+        found = model.find(title)
+        assert [whole for *_, whole in found] == [False], title
+    assert model.find("他走到门口�") == [] and model.find("他走到门口�\"") == []
+
+
 def test_clean_lines_stay(story):
     model, lines = story
     assert not any(model.find(x) for x in lines)
