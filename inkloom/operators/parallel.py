@@ -1,4 +1,4 @@
-"""Findings on parallel paragraphs: markup, lengths, names and numbers."""
+"""Findings on parallel paragraphs: markup, lengths, names and numbers (X19, X29, X30); whole results are judged in `results`."""
 
 from __future__ import annotations
 

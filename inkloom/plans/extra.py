@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from inkloom.functions.glossary import TITLES
 from inkloom.operators import dedup, parallel, reading, results
 from inkloom.plans.pairs import SPACE, lines_of, paragraphs, query, targets
 from inkloom.session import table
-from inkloom.sources import epub
+from inkloom.sources import epub, html
 from inkloom.streaming import ledger
 
 
@@ -67,6 +69,35 @@ def v11_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.excluded(chapters, terms, {r["source"]: r["n"] for r in words} | {t: 1 for t in (*TITLES, *(a + b for a in "大小老" for b in "城村镇"))})
 
 
+@query(
+    "x4_page_bodies",
+    f"""
+with r as (select row_number() over () as rid, book_id, number, source from chapters where source is not null and json_valid(source)),
+l as (select rid, book_id, number, unnest(from_json(source, '["VARCHAR"]')) as line, unnest(generate_series(1, cast(json_array_length(source) as bigint))) as i from r),
+s as (select *, string_split_regex(coalesce(line, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as parts from l),
+q as (select rid, book_id, number, i, unnest(parts) as part, unnest(generate_series(1, len(parts))) as k from s),
+b as (select *, regexp_replace(regexp_replace(part, '^{SPACE}+|{SPACE}+$', '', 'g'), '[\\t \\x{{3000}}]+', ' ', 'g') as text from q)
+select book_id, number, count(*) as paragraphs, sha256(string_agg(text, chr(10) order by i, k)) as body from b where text <> '' group by rid, book_id, number
+""",
+)
+def x4_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter set into a page with menus and scripts round it, and read back from its content node."""
+
+    def back(lines) -> str | None:
+        inside = "<br/>".join(escape(line or "") for line in lines)
+        page = f'<html><nav>目录</nav><h1>书</h1><script>if (a < b) {{}}</script><div id="c" class="text">{inside}<script>x()</script><aside>广告</aside></div><div>页脚</div></html>'
+        rows = html.body(page, "#c.text")
+        return "\n".join(rows).encode("utf-8", "replace").decode() if rows else None
+
+    @F.pandas_udf("string")
+    def bodies(values: pd.Series) -> pd.Series:
+        return values.map(lambda lines: None if lines is None else back(lines))
+
+    chapters = table(spark, sf_dir, "chapters").select("book_id", "number", lines_of(F.col("source")).alias("lines")).filter("lines is not null")
+    read = chapters.select("book_id", "number", bodies("lines").alias("body")).filter("body is not null")
+    return read.select("book_id", "number", F.size(F.split("body", "\n")).cast("long").alias("paragraphs"), F.sha2("body", 256).alias("body"))
+
+
 @query("v1_findings")
 def v1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = dedup.once(table(spark, sf_dir, "chapters").select("book_id", "number", "source", "translated"), ["book_id", "number"])
@@ -78,7 +109,7 @@ def v1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     "x33_reader_paragraphs",
     f"""
 with r as (select row_number() over () as rid, book_id, number, edited from chapters where edited is not null and json_valid(edited)),
-p as (select rid, book_id, number, edited, unnest(generate_series(0, json_array_length(edited, '$.paragraphs') - 1)) as i from r),
+p as (select rid, book_id, number, edited, unnest(generate_series(0, cast(json_array_length(edited, '$.paragraphs') as bigint) - 1)) as i from r),
 t as (select rid, book_id, number, i, coalesce(json_extract_string(edited, '$.paragraphs[' || i || '].join_previous') = 'true', false) as joined,
   regexp_replace(nfc_normalize(coalesce(json_extract_string(edited, '$.paragraphs[' || i || '].text'), '')), '\\r\\n?', chr(10), 'g') as text from p),
 b as (select *, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n{SPACE}*\\n'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) as tidy from t),

@@ -40,9 +40,14 @@ def test_equals_sql(spark, data, engine, name):
     assert canonical(registry.queries()[name](spark, data).toPandas()) == canonical(engine.execute(SQL[name]).df())
 
 
+#: Queries without SQL that find nothing in the smallest tables; fixtures have their cases.
+EMPTY = {"j9_near_all", "v8_targets", "v11_excluded"}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_runs(spark, data, name):
-    assert registry.queries()[name](spark, data).count() >= 0
+    found = registry.queries()[name](spark, data)
+    assert (found.count() > 0) == (name not in EMPTY) and len(set(found.columns)) == len(found.columns)
 
 
 def test_entry(spark, data):
