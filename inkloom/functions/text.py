@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 
@@ -31,8 +30,6 @@ def _each(function):
 
 
 nfkc = _each(lambda v: unicodedata.normalize("NFKC", v))
-nfc = _each(lambda v: unicodedata.normalize("NFC", v))
-casefolded = _each(lambda v: " ".join(unicodedata.normalize("NFC", v).casefold().split()))
 
 
 def folded(text: Column) -> Column:
@@ -218,7 +215,3 @@ def chunks(payload: Column, size: int = 6144) -> Column:
         F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.translate(F.base64(F.substring(payload, k * size + 1, F.lit(size))), "+/\r\n", "-_")),
     )
     return F.coalesce(pieces, F.array().cast("array<string>"))
-
-
-def sha256_text(value: str) -> str:
-    return hashlib.sha256(value.encode()).hexdigest()
