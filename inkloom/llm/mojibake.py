@@ -372,6 +372,7 @@ def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Labels:
     for title, source, _ in rows:
         lines += re.findall(r'"((?:[^"\\]|\\.)*)"', source or "")
         lines.append(title or "")
+    del rows
     return learn(lines)
 
 

@@ -107,6 +107,7 @@ PHRASES = {
     "script": (
         r"\b(?:enable|turn(?:ing)? on|activate|allow|requires?|needs?|without|disabled?|blocked)\bS(?:javascript|js|scripts?|scripting|cookies?)\b|\b(?:javascript|js|scripts?|scripting|cookies)\bS(?:on|off|disabled|required|blocked|enabled|not supported)\b",
         r"(?:开启|启用|打开|允许|需要|不支持|支持|禁用|关闭|拦截)T(?:javascript|\bjs\b|脚本|cookie|阅读器)|(?:javascript|\bjs\b|脚本|cookie)T(?:被|已|未|关闭|禁用|启用|开启|打开|不可用|拦截|支持)",
+        r"(?:如何|怎样|怎么)(?:开启|启用|打开)\W*(?:点此|点击|点这里|查看)",
         r"(?:浏览器|阅读器|客户端)T(?:过旧|过低|太旧|太低|不支持|不兼容|升级|更新)|(?:更换|升级|更新)T浏览器",
         r"\bbrowser\bS(?:out of date|outdated|not supported|unsupported|too old)\b|\b(?:update|upgrade) your browser\b",
         r"(?:bật|tắt|kích hoạt|hỗ trợ|cần)S(?:javascript|cookie)|trình duyệtS(?:cũ|không hỗ trợ|cập nhật)",
