@@ -30,8 +30,8 @@ from inkloom.session import cut, small, spread
 #: all; and of one text, which gives whole lines up to that.
 SAMPLE, SAMPLE_CHARS = 4000, 2_500_000
 LONG_TEXT = SAMPLE_CHARS // 50
-#: Parts of the sample that are fitted at once; words of a sequence in training; epochs of each round.
-SHARDS, SEGMENT, EPOCHS = 8, 48, (3, 2)
+#: Parts of the sample that are fitted at once; words of a sequence in training; epochs of nodes alone, and with transitions.
+SHARDS, SEGMENT, EPOCHS = 8, 48, (2, 1)
 #: Words in the lexicons at most, and documents of a language from which a word is in its lexicon.
 LEXICON, LISTED = 60_000, 3
 BITS = 18
@@ -288,7 +288,8 @@ def stretches(model: Crf, texts: list[str | None]) -> list[list[tuple[int, str,
             weight = np.array([len(w) for w in words], dtype=float)
             lines, index = np.unique(at, return_inverse=True)
             # A line that only repeats one word (laughter, a run of one letter) has no language of its own, if another line has.
-            sames = np.array([k - j >= 3 and len(set(words[j:k])) == 1 for j, k in zip(np.searchsorted(at, lines), np.searchsorted(at, lines, "right"))])
+            spans = zip(np.searchsorted(at, lines), np.searchsorted(at, lines, "right"))
+            sames = np.array([k - j >= 3 and len(set(words[j : k - 1])) == 1 and words[j].startswith(words[k - 1]) for j, k in spans])
             total = np.stack([np.bincount(index, weights=marginal[:, c] * weight) for c in range(marginal.shape[1])], axis=1)
             size = np.bincount(index, weights=weight)
             best = total.argmax(axis=1)
@@ -351,8 +352,14 @@ def mixed(model: Crf, parts: list[tuple[Crf, np.ndarray]]) -> Crf:
 
 
 def train_shard(model: Crf, texts: list[str], labels: list[str], round_: int, seed: int) -> np.ndarray:
-    """One round on one shard: node weights alone, then with the transitions; returns which features were seen."""
-    return model.train(*examples(model, texts, labels, relabel=round_ > 0), EPOCHS[round_], round_ > 0, seed)
+    """One round on one shard: node weights alone, in the second round then with the transitions; returns which features were seen."""
+    documents, lines, truth = examples(model, texts, labels, relabel=round_ > 0)
+    if round_ == 0:
+        return model.train(documents, lines, truth, EPOCHS[0], False, seed)
+    # What wrong labels taught is forgotten: the corrected ones are learned from the start.
+    model.weights[:], model.bias[:] = 0, 0
+    seen = model.train(documents, lines, truth, EPOCHS[0], False, seed)
+    return seen | model.train(documents, lines, truth, EPOCHS[1], True, seed + 1)
 
 
 def lexicons(languages: list[str], counts: list[tuple[str, str, int]]) -> dict[str, int]:

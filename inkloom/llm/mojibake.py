@@ -63,6 +63,8 @@ LOST = "�"
 NEUTRAL = "·　©»"
 #: Largest share of Latin letters without marks in a misread span; words of Latin languages have more.
 FOREIGN = 0.3
+#: Latin letters, and so many signs on either side that tell whether they stand among Latin words.
+LATIN, BESIDE = re.compile("[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]+"), 12
 #: A single replacement mark at the end of a string is a cut, not a wrong encoding.
 CUT = "\x03"
 
@@ -218,6 +220,10 @@ class Labels:
         that a span may start or end behind them: if its inverse isn't whole, up
         to two more on either side are tried.
         """
+        beside = text[max(0, start - BESIDE) : start] + text[end : end + BESIDE]
+        if LATIN.fullmatch(text[start:end]) and 2 * sum(c.isascii() and c.isalpha() for c in beside) > len(beside):
+            # Letters with marks among Latin words are words themselves.
+            return None
         first = None
         for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2)):
             edge = text[max(0, start - a) : start] + text[end : end + b]
