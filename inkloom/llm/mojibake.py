@@ -3,13 +3,15 @@
 A hidden Markov model labels characters: one clean state, and one state per
 pair of true and wrong encoding. A state's emissions are those of clean text
 sent through its pair; a labelled span is given back by its state's inverse.
-The model is fitted on a bounded sample of texts; every value is labelled.
+The model is fitted on every value, by counts that add up over the rows; every
+value is labelled.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,18 +48,19 @@ def pairs() -> tuple[tuple[str, ...], ...]:
 
 PAIRS = pairs()
 
-#: What is taken for known before the sample is read: one misread span in so many characters, of so many characters; and the floor of emissions.
+#: What is taken for known before the texts are read: one misread span in so many characters, of so many characters; and the floor of emissions.
 ENTERED, LENGTH, FLOOR = 100_000, 100, 1e-7
 #: States that are tried for a span whose bytes its likeliest state can't have given.
 TRIED = 16
 #: Log-odds of a sign of a block that a pair never gives.
 UNSEEN = math.log(FLOOR) + 9.0
-#: Bounds of the model: texts that it is fitted on, drawn by hash, and their longest.
-SAMPLE, SAMPLE_TEXT = 3000, 60_000
-#: Signs that no sample holds are smoothed over blocks of this many code points.
+#: Characters that are counted, and that are labelled, at once.
+COUNTED, LABELLED = 1 << 16, 1 << 16
+#: Signs that no text holds are smoothed over blocks of this many code points.
 BLOCK = 256
-#: A character is suspect from this log-odds of a garbled state over the clean one.
-SUSPECT = 3.0
+#: A character is suspect from this log-odds of a garbled state over the clean one. A lone suspect sign in a line may be a rare
+#: one; a line with so many on end is garbled itself, and kept out of the clean texts.
+SUSPECT, RUN = 3.0, 3
 LOST = "�"
 #: Signs of clean texts that misreadings have too (fixed values); wide ASCII is treated alike.
 NEUTRAL = "·　©»"
@@ -140,7 +143,8 @@ class Labels:
 
     odds: dict[str, np.ndarray]
     rest: np.ndarray
-    suspects: re.Pattern | None = field(default=None)
+    #: Whether a code point is suspect.
+    suspects: np.ndarray | None = field(default=None)
     usual: dict[str, float] = field(default_factory=dict)
     #: Log-probabilities of entering and of leaving a garbled state.
     enter: float = -math.log(ENTERED)
@@ -185,33 +189,64 @@ class Labels:
 
     def spans(self, text: str) -> list[tuple[int, int, list[int]]]:
         """Garbled spans ``(start, end, states)`` of the best path (Viterbi): its state, then others by how well they give the span."""
-        n, states = len(text), len(PAIRS)
-        emit = np.array([self.odds.get(c, self.rest) for c in text], dtype=float)
-        clean, garbled = 0.0, np.full(states, -np.inf)
-        entered = np.zeros((n, states), dtype=bool)
-        came = np.full(n, -1)
+        return self.paths([text])[0]
+
+    def paths(self, texts: list[str]) -> list[list[tuple[int, int, list[int]]]]:
+        """`spans` of each text; texts of like length are labelled at once."""
+        found, order = [[] for _ in texts], sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        at = 0
+        while at < len(order) and texts[order[at]]:
+            some = order[at : at + max(1, LABELLED // len(texts[order[at]]))]
+            at += len(some)
+            for i, path in zip(some, self._paths([texts[i] for i in some])):
+                found[i] = [(a, b, [k, *(x for x in self.likeliest(texts[i][a:b]) if x != k)]) for a, b, k in path]
+        return found
+
+    def _paths(self, texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
+        """``(start, end, state)`` of the spans of texts, longest first."""
+        n, size, states = len(texts[0]), len(texts), len(PAIRS)
+        signs = {c: k for k, c in enumerate(sorted(set().union(*texts)))}
+        odds = np.array([self.odds.get(c, self.rest) for c in signs], dtype=float)
+        rows = np.zeros((n, size), np.int32)
+        for j, text in enumerate(texts):
+            rows[: len(text), j] = [signs[c] for c in text]
+        long = np.array(list(map(len, texts)))
+        clean_, garbled_ = np.zeros(size), np.full((size, states), -np.inf)
+        entered = np.zeros((n, size, states), dtype=bool)
+        came = np.full((n, size), -1)
         for i in range(n):
-            top = int(garbled.argmax())
-            out = garbled[top] + self.leave
-            enter = clean + self.enter
-            entered[i] = enter > garbled
-            garbled = np.maximum(garbled, enter) + emit[i]
-            if out > clean:
-                clean, came[i] = out, top
-        top = int(garbled.argmax())
-        state = top if garbled[top] + self.leave > clean else -1
-        found, end = [], n
-        for i in range(n - 1, -1, -1):
+            on = int((long > i).sum())
+            clean, garbled = clean_[:on], garbled_[:on]
+            top = garbled.argmax(axis=1)
+            out = garbled[np.arange(on), top] + self.leave
+            enter = (clean + self.enter)[:, None]
+            np.greater(enter, garbled, out=entered[i, :on])
+            np.maximum(garbled, enter, out=garbled)
+            garbled += odds[rows[i, :on]]
+            left = np.flatnonzero(out > clean)
+            clean[left], came[i, left] = out[left], top[left]
+        last = garbled_.argmax(axis=1)
+        inside = garbled_[np.arange(size), last] + self.leave > clean_
+        some = inside | (came >= 0).any(axis=0)
+        for j in range(size):
+            found, end = [], int(long[j])
+            state = int(last[j]) if inside[j] else -1
+            for i in range(end - 1, -1, -1) if some[j] else ():
+                if state >= 0:
+                    if entered[i, j, state]:
+                        found.append((i, end, state))
+                        state, end = -1, i
+                elif came[i, j] >= 0:
+                    # The clean character at i follows a garbled one.
+                    state, end = int(came[i, j]), i
             if state >= 0:
-                if entered[i, state]:
-                    found.append((i, end, state))
-                    state, end = -1, i
-            elif came[i] >= 0:
-                # The clean character at i follows a garbled one.
-                state, end = int(came[i]), i
-        if state >= 0:
-            found.append((0, end, state))
-        return [(a, b, [k, *(x for x in np.argsort(-emit[a:b].sum(axis=0), kind="stable")[:TRIED].tolist() if x != k)]) for a, b, k in found[::-1]]
+                found.append((0, end, state))
+            yield found[::-1]
+
+    def likeliest(self, span: str) -> list[int]:
+        """States by how well they give a span, at most `TRIED`."""
+        emit = np.array([self.odds.get(c, self.rest) for c in span], dtype=float)
+        return np.argsort(-emit.sum(axis=0), kind="stable")[:TRIED].tolist()
 
     def original(self, text: str, start: int, end: int, states: list[int]) -> tuple[int, int, str, bool] | None:
         """A labelled span, what it was, and whether nothing was lost; None if it was clean.
@@ -244,28 +279,39 @@ class Labels:
         return start, end, first[0], False
 
     def find(self, value: str | None) -> list[tuple[int, int, str, bool]]:
-        """Garbled spans over a whole value with what they were and whether nothing was lost.
+        """Garbled spans over a whole value with what they were and whether nothing was lost."""
+        return self.find_all([value])[0]
 
-        Only strings of the value with a suspect character are labelled.
-        """
-        if not value or not self.suspects.search(value):
-            return []
-        found, at = [], 0
-        for piece in re.split(r'(?<=")', value):
-            if self.suspects.search(piece):
-                text = re.sub(f"(?<!{LOST}){LOST}(?=\\W?$)", CUT, piece)
-                for start, end, states in self.spans(text):
-                    if (span := self.original(piece, start, end, states)) is not None:
-                        found.append((at + span[0], at + span[1], *span[2:]))
-            at += len(piece)
+    def find_all(self, values: list[str | None]) -> list[list[tuple[int, int, str, bool]]]:
+        """`find` of each value. Only strings of a value with a suspect character are labelled."""
+        pieces = []
+        for k, value in enumerate(values):
+            end = 0
+            for at in runs(value, self.suspects) if value else ():
+                if at >= end:
+                    start, end = value.rfind('"', 0, at) + 1, value.find('"', at) + 1 or len(value)
+                    pieces.append((k, start, value[start:end]))
+        found = [[] for _ in values]
+        paths = self.paths([re.sub(f"(?<!{LOST}){LOST}(?=\\W?$)", CUT, piece) for *_, piece in pieces])
+        for (k, at, piece), path in zip(pieces, paths):
+            for start, end, states in path:
+                if (span := self.original(piece, start, end, states)) is not None:
+                    found[k].append((at + span[0], at + span[1], *span[2:]))
         return found
 
 
 def repaired(value: str | None, model: Labels) -> tuple[str, bool] | None:
     """The value with each garbled span's original text, and whether nothing was lost; None if nothing is garbled."""
-    spans = model.find(value)
-    if not spans:
-        return None
+    return repaired_all([value], model)[0]
+
+
+def repaired_all(values: list[str | None], model: Labels) -> list[tuple[str, bool] | None]:
+    """`repaired` of each value."""
+    return [mended(value, spans) if spans else None for value, spans in zip(values, model.find_all(values))]
+
+
+def mended(value: str, spans: list[tuple[int, int, str, bool]]) -> tuple[str, bool]:
+    """A value with its spans' original texts, and whether nothing was lost."""
     out, at = [], 0
     for start, end, text, _ in spans:
         out += [value[at:start], text]
@@ -273,23 +319,92 @@ def repaired(value: str | None, model: Labels) -> tuple[str, bool] | None:
     return "".join(out) + value[at:], all(complete for *_, complete in spans)
 
 
+def points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    if len(units) > len(text):
+        # Signs beyond the basic plane.
+        units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return units
+
+
+def runs(text: str, known: np.ndarray, length: int = 1) -> list[int]:
+    """Where so many known signs on end start; ``known`` has all code points."""
+    told = known[points(text)]
+    for _ in range(length - 1):
+        # Starts of runs that are longer by one.
+        told[:-1] &= told[1:]
+        told[-1:] = False
+    return np.flatnonzero(told).tolist()
+
+
 def counted(text: str) -> Counter:
     """How often each sign occurs."""
-    points = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-    at = np.flatnonzero(points)
-    return Counter(dict(zip(map(chr, at.tolist()), points[at].tolist())))
+    return signs(np.bincount(points(text)))
+
+
+def signs(many: np.ndarray) -> Counter:
+    at = np.flatnonzero(many)
+    return Counter(dict(zip(map(chr, at.tolist()), many[at].tolist())))
+
+
+#: The count of the texts as they are, beside those of the pairs by their number in `PAIRS`.
+CLEAN = -1
+#: Pairs whose misreading depends on neighbours: counted over whole lines. The others' counts follow from those of the characters.
+NEIGHBOURED = tuple(k for k, pair in enumerate(PAIRS) if pair[-1] in DOUBLE and "utf-8-lost" not in pair)
+
+
+def tally(lines: Iterable[str]) -> dict[int, Counter]:
+    """Signs of the lines as they are and as each pair of `NEIGHBOURED` misreads them; those of several parts of the lines add up."""
+    counts = {k: np.zeros(0, np.int64) for k in (CLEAN, *NEIGHBOURED)}
 
+    def add(k: int, text: str) -> None:
+        more = np.bincount(points(text))
+        if len(more) > len(counts[k]):
+            counts[k] = np.pad(counts[k], (0, len(more) - len(counts[k])))
+        counts[k][: len(more)] += more
 
-def emitted(lines: list[str], characters: Counter, pair: tuple[str, ...]) -> Counter:
-    """What a pair makes of all the lines, or of their characters by count where neighbours don't matter."""
-    if pair[-1] in DOUBLE:
+    for part in portions(lines):
+        add(CLEAN, "".join(part))
         # No misreading gives a line feed of its own or reads over one.
-        found = counted(misread("\n".join(lines) if "utf-8-lost" not in pair else "中" * 1000, pair))
+        wide = "\n".join(t for x in part if (t := _PLAIN.sub("", x)))
+        data = {true: encode(wide, true) for true in TRUE}
+        for k in NEIGHBOURED:
+            true, wrong = PAIRS[k]
+            add(k, decode(data[true], wrong))
+    for k in NEIGHBOURED:
+        counts[k][ord("\n") : ord("\n") + 1] = 0
+    return {k: signs(n) for k, n in counts.items()}
+
+
+#: What every misreading leaves alone, or has lost.
+_PLAIN = re.compile(f"[\x00-\x7f{LOST}]+")
+
+
+def portions(lines: Iterable[str]) -> Iterator[list[str]]:
+    """The lines in lists of about `COUNTED` characters."""
+    part, size = [], 0
+    for line in lines:
+        part.append(line)
+        size += len(line)
+        if size >= COUNTED:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def emitted(counts: dict[int, Counter], characters: Counter, k: int) -> Counter:
+    """What a pair makes of all the lines: counted, or from their characters by count where neighbours don't matter."""
+    if k in NEIGHBOURED:
+        return counts[k]
+    if PAIRS[k][-1] in DOUBLE:
+        found = counted(misread("中" * 1000, PAIRS[k]))
         del found["\n"]
         return found
     found = Counter()
     for c, n in characters.items():
-        for g in misread(c, pair):
+        for g in misread(c, PAIRS[k]):
             found[g] += n
     return found
 
@@ -303,30 +418,35 @@ def by_block(counts: Counter) -> dict[int, float]:
     return {b: n / size * types[b] / (n + types[b]) / max(1, BLOCK - types[b]) for b, n in tokens.items()}
 
 
+def without(counts: dict[int, Counter], some: dict[int, Counter]) -> dict[int, Counter]:
+    """Counts without those of some of the lines."""
+    return {k: counts[k] - some[k] for k in counts}
+
+
+def moved(labels: Labels, spans: int, inside: int, size: int) -> Labels:
+    """The model with its transitions: how often spans begin and how long they are, by what it finds in texts of so many characters."""
+    labels.enter = math.log((spans + 1) / (size - inside + ENTERED))
+    labels.leave = math.log((spans + 1) / (inside + LENGTH))
+    return labels
+
+
 def learn(texts: list[str]) -> Labels:
     """Fit the emissions: clean ones by counting, each pair's by misreading the clean texts; then the transitions by labelling them."""
-    given = texts = [t for t in texts if t]
-    for round_ in range(2):
-        labels = emissions(texts)
-        if round_ == 0:
-            # Without the lines that are garbled themselves, the clean state is clean: a lone suspect sign may be a rare one, three on end aren't.
-            runs = re.compile(labels.suspects.pattern + "{3}")
-            texts = [t for t in texts if not runs.search(t)]
-    # How often spans begin and how long they are, by what the model finds in the whole sample.
-    spans = [(end - start) for t in given for start, end, *_ in labels.find(t)]
-    labels.enter = math.log((len(spans) + 1) / (sum(map(len, given)) - sum(spans) + ENTERED))
-    labels.leave = math.log((len(spans) + 1) / (sum(spans) + LENGTH))
-    return labels
+    counts = tally(texts)
+    suspects = emissions(counts).suspects
+    # Without the lines that are garbled themselves, the clean state is clean.
+    labels = emissions(without(counts, tally(t for t in texts if runs(t, suspects, RUN))))
+    spans = [end - start for found in labels.find_all(texts) for start, end, *_ in found]
+    return moved(labels, len(spans), sum(spans), counts[CLEAN].total())
 
 
-def emissions(texts: list[str]) -> Labels:
-    clean = counted("".join(texts))
+def emissions(sums: dict[int, Counter]) -> Labels:
+    """The model of counted texts, with transitions as taken for known."""
+    clean = sums[CLEAN]
     total = sum(clean.values()) or 1
-    lines = ["".join(c for c in t if ord(c) > 127 and c != LOST) for t in texts]
-    lines = [t for t in lines if t]
     wide = Counter({c: n for c, n in clean.items() if ord(c) > 127 and c != LOST})
     plain = total - sum(wide.values())
-    counts = [emitted(lines, wide, pair) for pair in PAIRS]
+    counts = [emitted(sums, wide, k) for k in range(len(PAIRS))]
     sizes = np.array([sum(g.values()) or 1 for g in counts])
     # What every misreading leaves alone is as frequent in garbled text as its share of what comes out, never more than in clean text.
     alone = np.minimum(np.log(total / (plain + sizes)), 0)
@@ -354,11 +474,12 @@ def emissions(texts: list[str]) -> Labels:
             if not (c in odds or c.isascii() or c in NEUTRAL or "！" <= c <= "～" or "\ud800" <= c <= "\udfff"):
                 odds[c] = q
     odds[CUT] = np.full(len(PAIRS), -2.0, np.float32)
-    suspect = sorted(c for c, o in odds.items() if o.max() > SUSPECT and not c.isascii())
+    suspects = np.zeros(0x110000, bool)
+    suspects[[ord(c) for c, o in odds.items() if o.max() > SUSPECT and not c.isascii()]] = True
     return Labels(
         odds,
         np.full(len(PAIRS), UNSEEN, np.float32),
-        re.compile("[" + "".join(map(re.escape, suspect)) + "]") if suspect else re.compile("(?!)"),
+        suspects,
         {c: math.log(n / total) for c, n in clean.items()},
     )
 
@@ -367,19 +488,52 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chapters").select("book_id", "number", "title", "source")
 
 
-def fitted(spark: SparkSession, sf_dir: str, bound: int = SAMPLE) -> Labels:
-    """The model of about ``bound`` sources drawn by hash, none of more than `SAMPLE_TEXT` characters; the same rows give the same model."""
-    chapters = values(spark, sf_dir).select("title", "source", F.pmod(F.xxhash64("book_id", "number"), F.lit(1 << 50)).alias("at"))
-    usable = chapters.filter(F.coalesce(F.length("source"), F.lit(0)) + F.coalesce(F.length("title"), F.lit(0)) <= SAMPLE_TEXT)
-    share = min(1.0, bound / max(usable.count(), 1))
-    # Rows of one key are drawn together; the bound holds for these too.
-    rows = usable.filter(F.col("at") < int(share * (1 << 50))).orderBy("at", F.xxhash64("title", "source")).limit(2 * bound).collect()
-    lines = []
-    for title, source, _ in rows:
-        lines += re.findall(r'"((?:[^"\\]|\\.)*)"', source or "")
-        lines.append(title or "")
-    del rows
-    return learn(lines)
+#: Strings of a source.
+STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"')
+
+
+def lines_of(batch: pd.DataFrame, known: np.ndarray | None = None, length: int = 1) -> Iterator[str]:
+    """Titles and strings of sources; with ``known`` only those with so many known signs on end (see `runs`)."""
+    for source in batch["source"]:
+        if source and known is None:
+            yield from STRING.findall(source)
+        elif source and (at := runs(source, known, length)):
+            # No run crosses a quotation mark.
+            spans = [m.span(1) for m in STRING.finditer(source)]
+            yield from (source[a:b] for a, b in spans if (k := bisect_left(at, a)) < len(at) and at[k] < b)
+    yield from (title for title in batch["title"] if title and (known is None or runs(title, known, length)))
+
+
+def tallied(chapters: DataFrame, known: np.ndarray | None = None) -> dict[int, Counter]:
+    """`tally` of all lines, or of those with `RUN` known signs on end: as many numbers as there are signs, whatever the rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = tally(line for batch in batches for line in lines_of(batch, known, RUN))
+        for k, signs in found.items():
+            yield pd.DataFrame({"k": k, "sign": list(map(ord, signs)), "n": list(signs.values())})
+
+    sums = chapters.mapInPandas(count, "k int, sign int, n long").groupBy("k", "sign").agg(F.sum("n").alias("n")).toPandas()
+    counts = {k: Counter() for k in (CLEAN, *NEIGHBOURED)}
+    for k, part in sums.sort_values(["k", "sign"]).groupby("k"):
+        counts[k] = Counter(dict(zip(map(chr, part["sign"].tolist()), part["n"].tolist())))
+    return counts
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> Labels:
+    """The model of every title and source, as `learn` has it; the same rows give the same model."""
+    chapters = spread(values(spark, sf_dir).select("title", "source"))
+    counts = tallied(chapters)
+    labels = emissions(without(counts, tallied(chapters, emissions(counts).suspects)))
+    shared = spark.sparkContext.broadcast(labels)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = shared.value
+        for batch in batches:
+            spans = [end - start for found in tool.find_all(list(lines_of(batch, tool.suspects))) for start, end, *_ in found]
+            yield pd.DataFrame({"spans": [len(spans)], "inside": [sum(spans)]})
+
+    found = chapters.mapInPandas(label, "spans long, inside long").agg(F.sum("spans"), F.sum("inside")).first()
+    return moved(labels, found[0] or 0, found[1] or 0, counts[CLEAN].total())
 
 
 def find(chapters: DataFrame, model: Labels) -> DataFrame:
@@ -395,9 +549,9 @@ def find(chapters: DataFrame, model: Labels) -> DataFrame:
         tool = shared.value
         for batch in batches:
             rows = []
-            for book, number, *cells in zip(batch["book_id"], batch["number"], batch["title"], batch["source"]):
-                for name, value in zip(("title", "source"), cells):
-                    if (found := repaired(value, tool)) is not None:
+            for name in ("title", "source"):
+                for book, number, found in zip(batch["book_id"], batch["number"], repaired_all(batch[name].tolist(), tool)):
+                    if found is not None:
                         rows.append((book, number, name, *found))
             yield pd.DataFrame(rows, columns=["book_id", "number", "field", "restored", "whole"])
 

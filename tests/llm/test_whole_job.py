@@ -80,3 +80,20 @@ def test_long_text_does_not_end_the_sample(spark, tables, monkeypatch):
         lang_codes=[{"label": code, "lang": code} for code, _ in texts],
     )
     assert languages.fitted(spark, folder).languages == ["en", "fr", "vi"]
+
+
+def test_wrong_encodings_are_fitted_on_every_value(spark, tables):
+    """Each of more values than any sample would take, a long one too, as if they were learned at once."""
+    random.seed(5)
+    lines = ["".join(random.choices("霜桥旧事他把钥匙递给老人", k=6)) + "。" for _ in range(6500)]
+    late = "薔薇蝴蝶鸳鸯蜻蜓骆驼琥珀玳瑁葡萄枇杷"
+    lost = mojibake.misread("他把钥匙递给老人", ("utf-8", "latin-1"))
+    chapters = [{"book_id": f"b{n % 7}", "number": n, "title": f"第{n}章", "source": json.dumps([x], ensure_ascii=False)} for n, x in enumerate(lines)]
+    for n, (title, texts) in enumerate(((chr(0x20000), ["甲乙" * 40_000, lost]), (None, [late]))):
+        chapters.append({"book_id": "c", "number": n, "title": title, "source": json.dumps(texts, ensure_ascii=False)})
+    model = mojibake.fitted(spark, tables(chapters=chapters))
+    whole = mojibake.learn([*lines, late, "甲乙" * 40_000, lost, chr(0x20000), *(c["title"] for c in chapters[: len(lines)])])
+    assert set(late + "甲" + chr(0x20000)) <= set(model.usual)
+    assert model.usual == whole.usual and (model.enter, model.leave) == (whole.enter, whole.leave)
+    assert model.odds.keys() == whole.odds.keys() and all((model.odds[c] == whole.odds[c]).all() for c in whole.odds)
+    assert [x[2] for x in model.find(lost)] == ["他把钥匙递给老人"]
