@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 BITS = 20
@@ -62,29 +64,55 @@ class Model:
         return out / np.sqrt(size) + self.bias
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, epochs: int = 6, rate: float = 0.5, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Fit by mini-batch AdaGrad; ``texts`` is a bounded sample held in the driver."""
-    labels = np.asarray(labels, dtype=float)
-    importance = np.ones(len(texts)) if weights is None else np.asarray(weights, dtype=float)
-    w, g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
-    bias, gb = 0.0, 1e-6
-    random = np.random.default_rng(seed)
-    for _ in range(epochs):
-        ids = random.permutation(len(texts))
-        for k in range(0, len(ids), 512):
-            # Features are made batch by batch, so that those of the whole sample never stand in memory.
-            batch = ids[k : k + 512]
-            points, owner = codes([texts[i] for i in batch])
-            f, row = (np.concatenate(x) for x in zip(*features(points, owner)))
-            f = f.astype(np.int64)
-            scale = 1 / np.sqrt(np.bincount(owner, minlength=len(batch)))
-            z = np.bincount(row, weights=w[f], minlength=len(batch)) * scale + bias
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) * importance[batch]
-            used, inverse = np.unique(f, return_inverse=True)
-            grad = np.bincount(inverse, weights=(error * scale)[row], minlength=len(used)) + decay * w[used]
-            g[used] += grad * grad
-            w[used] -= rate * grad / np.sqrt(g[used]) / 4
-            db = error.mean()
-            gb += db * db
-            bias -= rate * db / np.sqrt(gb) / 4
-    return Model(w, bias)
+class Learner:
+    """A logistic model while it is fitted by mini-batch AdaGrad."""
+
+    def __init__(self, rate: float = 0.5, decay: float = 1e-6):
+        self.rate, self.decay = rate, decay
+        self.w, self.g = np.zeros(1 << BITS), np.full(1 << BITS, START)
+        self.bias, self.gb = 0.0, START
+
+    def step(self, batch: tuple[np.ndarray, ...], labels: np.ndarray) -> None:
+        used, inverse, row, scale = batch
+        z = np.bincount(row, weights=self.w[used][inverse], minlength=len(scale)) * scale + self.bias
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        grad = np.bincount(inverse, weights=(error * scale)[row], minlength=len(used)) + self.decay * self.w[used]
+        self.g[used] += grad * grad
+        self.w[used] -= self.rate * grad / np.sqrt(self.g[used]) / 4
+        db = error.mean()
+        self.gb += db * db
+        self.bias -= self.rate * db / np.sqrt(self.gb) / 4
+
+    def learn(self, texts: list[str], labels: np.ndarray, epochs: int, random: np.random.Generator) -> None:
+        """All epochs over a block of texts, whose features are made once."""
+        labels, ids = np.asarray(labels, dtype=float), random.permutation(len(texts))
+        parts = [ids[k : k + BATCH] for k in range(0, len(ids), BATCH)]
+        batches = [made([texts[i] for i in part]) for part in parts]
+        for _ in range(epochs):
+            for k in random.permutation(len(parts)):
+                self.step(batches[k], labels[parts[k]])
+
+    def touched(self) -> np.ndarray:
+        return np.flatnonzero(self.w).astype(np.int32)
+
+
+#: Texts of a step, and what AdaGrad's sums begin with.
+BATCH, START = 512, 1e-6
+
+
+def made(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """The features that occur, and of each occurrence its feature by place among these and its text; and the texts' scales."""
+    points, owner = codes(texts)
+    f, row = (np.concatenate(x) for x in zip(*features(points, owner)))
+    used, inverse = np.unique(f.astype(np.int64), return_inverse=True)
+    return used, inverse.astype(np.int32), row.astype(np.int32), 1 / np.sqrt(np.bincount(owner, minlength=len(texts)))
+
+
+def mixed(parts: Iterable[tuple[np.ndarray, np.ndarray, float]]) -> Model | None:
+    """One model of ``(features, weights, bias)`` of several: each feature's mean weight over those that met it."""
+    sums, many, biases = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int32), []
+    for at, weights, bias in parts:
+        sums[at] += weights
+        many[at] += 1
+        biases.append(bias)
+    return Model(sums / np.maximum(many, 1), float(np.mean(biases))) if biases else None
