@@ -34,17 +34,18 @@ def features(points: np.ndarray, owner: np.ndarray, orders: tuple[int, ...] = (1
     sizes = np.diff(np.append(first, len(owner)))
     since = np.arange(len(owner)) - np.repeat(first, sizes)
     until = np.repeat(sizes, sizes) - since
+    heads, tails = np.flatnonzero(since < HEAD), np.flatnonzero(until <= TAIL)
     mixed = points * PRIMES[0]
     for n in orders:
         if n > 1:
             if len(points) < n:
                 return
             mixed = mixed[:-1] * PRIMES[1] ^ (points[n - 1 :] * PRIMES[n % 4])
-        inside = np.flatnonzero(owner[: len(mixed)] == owner[n - 1 :])
-        spread, of = mixed[inside], owner[inside]
-        yield (spread * PRIMES[2] >> np.uint64(40)) & bound, of
-        for salt, near in ((1, since[inside] < HEAD), (2, until[inside] <= TAIL)):
-            yield ((spread[near] + np.uint64(salt)) * PRIMES[1] >> np.uint64(41)) & bound, of[near]
+        inside = np.flatnonzero(until >= n)
+        yield (mixed[inside] * PRIMES[2] >> np.uint64(40)) & bound, owner[inside]
+        for salt, near in ((1, heads), (2, tails)):
+            near = near[until[near] >= n]
+            yield ((mixed[near] + np.uint64(salt)) * PRIMES[1] >> np.uint64(41)) & bound, owner[near]
 
 
 class Model:
@@ -71,14 +72,20 @@ class Learner:
         self.rate, self.decay = rate, decay
         self.w, self.g = np.zeros(1 << BITS), np.full(1 << BITS, START)
         self.bias, self.gb = 0.0, START
+        self.seen, self.place, self.room = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.intp), np.empty(0)
 
     def step(self, batch: tuple[np.ndarray, ...], labels: np.ndarray) -> None:
         used, inverse, row, scale = batch
-        z = np.bincount(row, weights=self.w[used][inverse], minlength=len(scale)) * scale + self.bias
+        if len(row) > len(self.room):
+            self.room = np.empty(2 * len(row))
+        # The same memory for every step: fresh pages cost more than the sums.
+        w, each = self.w[used], self.room[: len(row)]
+        z = np.bincount(row, weights=w.take(inverse, out=each, mode="clip"), minlength=len(scale)) * scale + self.bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        grad = np.bincount(inverse, weights=(error * scale)[row], minlength=len(used)) + self.decay * self.w[used]
-        self.g[used] += grad * grad
-        self.w[used] -= self.rate * grad / np.sqrt(self.g[used]) / 4
+        grad = np.bincount(inverse, weights=(error * scale).take(row, out=each, mode="clip"), minlength=len(used)) + self.decay * w
+        g = self.g[used] + grad * grad
+        self.g[used] = g
+        self.w[used] = w - self.rate * grad / np.sqrt(g) / 4
         db = error.mean()
         self.gb += db * db
         self.bias -= self.rate * db / np.sqrt(self.gb) / 4
@@ -87,11 +94,23 @@ class Learner:
         """All epochs over a block of texts, whose features are made once."""
         labels, ids = np.asarray(labels, dtype=float), random.permutation(len(texts))
         parts = [ids[k : k + BATCH] for k in range(0, len(ids), BATCH)]
-        batches = [made([texts[i] for i in part]) for part in parts]
+        batches = [self.made([texts[i] for i in part]) for part in parts]
         for _ in range(epochs):
             for k in random.permutation(len(parts)):
                 self.step(batches[k], labels[parts[k]])
 
+    def made(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """The features that occur, and of each occurrence its feature by place among these and its text; and the texts' scales."""
+        points, owner = codes(texts)
+        f, row = (np.concatenate(x) for x in zip(*features(points, owner)))
+        f = f.view(np.int64)
+        # As `np.unique` with its inverse, by tables of all features.
+        self.seen[f] = True
+        used = np.flatnonzero(self.seen)
+        self.seen[used] = False
+        self.place[used] = np.arange(len(used))
+        return used, self.place[f], row, 1 / np.sqrt(np.bincount(owner, minlength=len(texts)))
+
     def touched(self) -> np.ndarray:
         return np.flatnonzero(self.w).astype(np.int32)
 
@@ -100,14 +119,6 @@ class Learner:
 BATCH, START = 512, 1e-6
 
 
-def made(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """The features that occur, and of each occurrence its feature by place among these and its text; and the texts' scales."""
-    points, owner = codes(texts)
-    f, row = (np.concatenate(x) for x in zip(*features(points, owner)))
-    used, inverse = np.unique(f.astype(np.int64), return_inverse=True)
-    return used, inverse.astype(np.int32), row.astype(np.int32), 1 / np.sqrt(np.bincount(owner, minlength=len(texts)))
-
-
 def mixed(parts: Iterable[tuple[np.ndarray, np.ndarray, float]]) -> Model | None:
     """One model of ``(features, weights, bias)`` of several: each feature's mean weight over those that met it."""
     sums, many, biases = np.zeros(1 << BITS), np.zeros(1 << BITS, np.int32), []
